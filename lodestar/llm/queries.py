@@ -5,10 +5,12 @@ from __future__ import annotations
 from lodestar.llm.bpe import op3_bpe
 from lodestar.llm.common import Query
 from lodestar.llm.packing import op2_packing
+from lodestar.llm.simhash import op10_simhash
 
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE: dict[str, str] = {}
