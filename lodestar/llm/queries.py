@@ -6,10 +6,12 @@ from lodestar.llm.bpe import op3_bpe
 from lodestar.llm.common import Query
 from lodestar.llm.packing import op2_packing
 from lodestar.llm.simhash import op10_simhash
+from lodestar.llm.suffix_dedup import op6_suffix_dedup
 
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
 
