@@ -21,7 +21,7 @@ same document or another; strings are judged on the input. Texts are UTF-8 bytes
 5. Runs of repeated windows go back to the texts they came from, where their union is cut.
 
 Texts are shuffled once, and the texts that hold shared anchors once more. Python sees
-Arrow buffers in pieces of about a MB, so a text may have any length.
+Arrow buffers in bounded pieces, so a text may have any length.
 
 Defined cases: a null text is an empty one; texts shorter than `least` keep all bytes;
 rows that repeat a text lose it whole if it has `least` bytes; equal or null doc_id values
@@ -44,7 +44,8 @@ from lodestar.llm.common import lead_columns, shuffle_partitions, table, written
 LEAST = 400
 GRAM = 32
 KEY_CONTEXTS = 128
-CHUNK = 1 << 20
+CHUNK = 1 << 20  # bytes of contexts that one suffix array sorts
+PIECE = 1 << 16  # bytes that are hashed at a time
 _PLACE = np.uint64((1 << 24) - 1)
 _TABLE = np.random.default_rng(6).integers(0, 1 << 64, 256, dtype=np.uint64)
 
@@ -98,18 +99,18 @@ def runs(data: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[np.
 
 
 def chunks(texts: pa.Array, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """bytes, piece ends, piece rows, piece offsets in their rows: about CHUNK bytes a time; long texts come in overlapping pieces."""
+    """bytes, piece ends, piece rows, piece offsets in their rows: about PIECE bytes a time; long texts come in overlapping pieces."""
     views, rows, offsets, size = [], [], [], 0
     for i, text in enumerate(texts):
         raw = np.frombuffer(text.as_buffer(), np.uint8)
         if len(raw) < least:
             continue
-        for at in range(0, len(raw) - least + 1, CHUNK):
-            views.append(raw[at : at + CHUNK + least - 1])
+        for at in range(0, len(raw) - least + 1, PIECE):
+            views.append(raw[at : at + PIECE + least - 1])
             rows.append(i)
             offsets.append(at)
             size += len(views[-1])
-            if size >= CHUNK:
+            if size >= PIECE:
                 yield np.concatenate(views), np.cumsum([len(v) for v in views]), np.array(rows), np.array(offsets)
                 views, rows, offsets, size = [], [], [], 0
     if views:
