@@ -7,10 +7,12 @@ from lodestar.llm.common import Query
 from lodestar.llm.packing import op2_packing
 from lodestar.llm.simhash import op10_simhash
 from lodestar.llm.suffix_dedup import op6_suffix_dedup
+from lodestar.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
