@@ -11,6 +11,7 @@ from lodestar.llm.packing import op2_packing
 from lodestar.llm.simhash import op10_simhash
 from lodestar.llm.suffix_dedup import op6_suffix_dedup
 from lodestar.llm.toxicity import op4_toxicity
+from lodestar.llm.url_filter import op9_url_filter
 from lodestar.llm.voronoi import op8_voronoi
 
 QUERIES: dict[str, Query] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op5_ivfpq": op5_ivfpq,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_voronoi": op8_voronoi,
+    "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
 }
 
