@@ -6,6 +6,7 @@ from lodestar.llm import chat, voronoi
 from lodestar.llm.bpe import op3_bpe
 from lodestar.llm.chat import op1_chat
 from lodestar.llm.common import Query
+from lodestar.llm.html_text import op7_html
 from lodestar.llm.ivfpq import op5_ivfpq
 from lodestar.llm.packing import op2_packing
 from lodestar.llm.simhash import op10_simhash
@@ -21,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_ivfpq": op5_ivfpq,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_html": op7_html,
     "op8_voronoi": op8_voronoi,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
