@@ -15,9 +15,9 @@ same document or another; strings are judged on the input. Texts are UTF-8 bytes
 4. An anchor with more than KEY_CONTEXTS different contexts (a passage or group of copies
    that a large part of the corpus shares) is not given to one shard. Its windows are
    split by binary search over their place before the anchor: each half is dealt anew by
-   the bytes that all windows of that half have in common, until the keys are small or
-   the half is one window, where equal keys are equal windows. So shards stay bounded, and
-   no window is dropped.
+   the bytes that all windows of that half have in common, equal halves as one, until the
+   keys are small (a half of one window has one context). So shards stay bounded, and no
+   window is dropped.
 5. Runs of repeated windows go back to the texts they came from, where their union is cut.
 
 Texts are shuffled once, and the texts that hold shared anchors once more. Python sees
@@ -169,16 +169,21 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     group of the suffix h places on, which doubles h; groups of one are left alone.
     """
     n = len(text)
+    used = np.zeros(257, np.int64)
+    used[text] = 1
+    used[0] = 0
+    letters = np.cumsum(used)[text] * (text > 0)  # 0, and the others by rank: fewer bits a character
+    bits = max(1, int(letters.max()).bit_length())
+    h = 63 // bits
     key = np.zeros(n, np.int64)
-    for j in range(7):
-        key <<= 9
-        key[: n - j] += text[j:]
+    for j in range(h):
+        key <<= bits
+        key[: n - j] += letters[j:]
     order = np.argsort(key)
     group = np.zeros(n + 1, np.int64)  # of each suffix: the place of its group's first member, from 1; 0 beyond the end
     ordered = key[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     group[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
-    h = 7
     while True:
         edge = np.append(new, True)
         open_ = np.flatnonzero(~(edge[:-1] & edge[1:]))
@@ -247,16 +252,17 @@ def repeated_windows(contexts: list[bytes], least: int) -> list[np.ndarray]:
 
 def _solve(least: int):
     def found(held: list[tuple]) -> pa.RecordBatch:
+        """held: rows (key, root, off, context); contexts without a root are known to repeat and only stand against the others."""
+        size: dict[int, int] = {}
+        open_: dict[int, bool] = {}
+        for key, root, _, _ in held:
+            size[key] = size.get(key, 0) + 1
+            open_[key] = open_.get(key, False) or root is not None
+        rest = [r for r in held if size[r[0]] > 1 and open_[r[0]]]
         roots, firsts, lasts = [], [], []
-        whole = [r for r in held if r[4] > 1]
-        for key, root, off, context, _, _ in whole:
-            roots.append(root)
-            firsts.append(off)
-            lasts.append(off + len(context) - least)
-        single = {r[0] for r in held if r[4] <= 1}
-        if rest := [r for r in held if r[0] in single and r[5] > 1]:
-            for (_, root, off, _, n, _), hit in zip(rest, repeated_windows([r[3] for r in rest], least), strict=True):
-                if n <= 1 and hit.any():
+        if rest:
+            for (_, root, off, _), hit in zip(rest, repeated_windows([r[3] for r in rest], least), strict=True):
+                if root is not None and hit.any():
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                     roots += [root] * (len(edges) // 2)
                     firsts += (off + edges[::2]).tolist()
@@ -267,7 +273,7 @@ def _solve(least: int):
         """Rows of a partition sorted by key: whole keys, about CHUNK bytes of contexts a time."""
         held, size = [], 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "root", "off", "context", "n", "cnt")), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "root", "off", "context")), strict=True):
                 if size >= CHUNK and r[0] != held[-1][0]:
                     yield found(held)
                     held, size = [], 0
@@ -280,36 +286,41 @@ def _solve(least: int):
 
 
 def shared_windows(contexts: DataFrame, least: int, gram: int, key_contexts: int = KEY_CONTEXTS) -> DataFrame:
-    """root, first, last: the runs of windows that occur again, for contexts(root, h, a, context, n), each root once."""
-    level = contexts.select(F.col("h").alias("key"), F.lit(0).alias("ra"), F.lit(least - gram).alias("rb"), "root", F.lit(0).cast("long").alias("off"), "a", "context", "n")
-    ready, more = None, True
-    while more:
-        level = written(level.join(level.groupBy("key").agg(F.count("*").alias("cnt")), "key"))
-        hot = level.where((F.col("cnt") > key_contexts) & (F.col("ra") < F.col("rb")))
-        part = level.where((F.col("cnt") <= key_contexts) | (F.col("ra") == F.col("rb"))).where("cnt > 1 or n > 1")
-        ready = part if ready is None else ready.unionByName(part)
-        more = not hot.isEmpty()
-        if more:
-            level = _halves(hot, least)
-    single = ready.where((F.col("ra") == F.col("rb")) | (F.col("cnt") == 1))
-    ends = single.select("root", F.col("off").alias("first"), (F.col("off") + F.length("context") - least).alias("last"))
-    rest = ready.where((F.col("ra") < F.col("rb")) & (F.col("cnt") > 1)).select("key", "root", "off", "context", "n", "cnt")
+    """root, first, last: the runs of windows that occur again, for contexts(root, h, a, context, n), a written table of different contexts.
+
+    n is how often a context occurs: from 2 on all its windows are found, and it only
+    stands against the other contexts of its anchor from here on (without its root).
+    """
     n = shuffle_partitions(contexts.sparkSession)
-    solved = rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_solve(least), "root binary, first long, last long")
-    return ends.unionByName(solved)
+    last = (F.col("off") + F.length("context") - least).alias("last")
+    out = contexts.where("n > 1").withColumn("off", F.lit(0).cast("long")).select("root", F.col("off").alias("first"), last)
+    level = contexts.select(F.col("h").alias("key"), F.lit(0).alias("ra"), F.lit(least - gram).alias("rb"), F.when(F.col("n") == 1, F.col("root")).alias("root"), F.lit(0).cast("long").alias("off"), "a", "context")
+    while True:
+        hot = written(level.groupBy("key").agg(F.count("*").alias("cnt"), F.count("root").alias("open")).where(F.col("cnt") > key_contexts))
+        rest = level.join(hot.select("key"), "key", "left_anti").select("key", "root", "off", "context")
+        out = out.unionByName(rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_solve(least), "root binary, first long, last long"))
+        if hot.where("open > 0").isEmpty():
+            return out
+        parts = written(_halves(level.join(hot.where("open > 0").select("key"), "key", "left_semi"), least))
+        # Equal parts under one key repeat each other: they are found, and one of them stands for all from here on.
+        same = written(parts.groupBy("key", "twin").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("ra", "rb", "root", "off", "a", "context")), F.count("root").alias("open")))
+        again = same.where("m > 1 and open > 0").select("key", "twin")
+        out = out.unionByName(parts.where("root is not null").join(again, ["key", "twin"], "left_semi").select("root", F.col("off").alias("first"), last))
+        level = same.withColumn("root", F.when(F.col("m") == 1, F.col("root"))).select(*level.columns)
 
 
 def _halves(hot: DataFrame, least: int) -> DataFrame:
     """The windows of each row in two halves by their place before the anchor, each keyed by the bytes that its windows share.
 
-    ra and rb bound the place (anchor minus window start) of a key's windows; a is the anchor's place in the context.
+    ra and rb bound the place (anchor minus window start) of a key's windows; a is the
+    anchor's place in the context. twin is equal for equal parts.
     """
     mid = F.floor((F.col("ra") + F.col("rb")) / 2).cast("int")
     sides = F.array(F.struct(F.col("ra").alias("x"), mid.alias("y")), F.struct((mid + 1).alias("x"), F.col("rb").alias("y")))
     cut = hot.withColumn("side", F.explode(sides)).select("*", "side.x", "side.y")
     cut = cut.withColumn("lo", F.greatest(F.lit(0), F.col("a") - F.col("y"))).withColumn("hi", F.least(F.length("context") - least, F.col("a") - F.col("x"))).where("lo <= hi")
     core = F.expr(f"substring(context, a - x + 1, {least} - (y - x))")
-    return cut.select(
+    made = cut.select(
         F.xxhash64("key", "x", "y", core).alias("key"),
         F.col("x").alias("ra"),
         F.col("y").alias("rb"),
@@ -317,8 +328,8 @@ def _halves(hot: DataFrame, least: int) -> DataFrame:
         (F.col("off") + F.col("lo")).alias("off"),
         (F.col("a") - F.col("lo")).alias("a"),
         F.expr(f"substring(context, lo + 1, hi - lo + {least})").alias("context"),
-        "n",
     )
+    return made.withColumn("twin", F.concat(F.unhex(F.md5("context")), F.unhex(F.hex("a"))))
 
 
 def repeats(bodies: DataFrame, least: int = LEAST, gram: int = GRAM, key_contexts: int = KEY_CONTEXTS) -> tuple[DataFrame, DataFrame]:
@@ -335,7 +346,7 @@ def repeats(bodies: DataFrame, least: int = LEAST, gram: int = GRAM, key_context
     wanted = anchors.select("tid", "h").join(shared, "h").groupBy("tid").agg(F.collect_list("h").alias("hs"))
     texts = written(long_ones.groupBy("tid").agg(F.first("body").alias("body")).join(wanted, "tid"))
     found = written(texts.mapInArrow(_context_rows(least, gram), "tid binary, start long, root binary, h long, a int, context binary"))
-    contexts = found.groupBy("root").agg(F.first("h").alias("h"), F.first("a").alias("a"), F.first("context", True).alias("context"), F.count("*").alias("n"))
+    contexts = written(found.groupBy("root").agg(F.first("h").alias("h"), F.first("a").alias("a"), F.first("context", True).alias("context"), F.count("*").alias("n")))
     windows = shared_windows(contexts, least, gram, key_contexts)
     here = found.select("tid", "start", "root").join(windows, "root")
     return texts.select("tid", "body"), here.select("tid", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
@@ -374,6 +385,25 @@ def with_body(docs: DataFrame) -> DataFrame:
     return docs.withColumn("body", body).withColumn("tid", F.unhex(F.sha2(body, 256)))
 
 
+def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """docs with text (and n_chars, if it is there) after removal; bytes of characters that are cut through go too."""
+    rows = with_body(docs)
+    bodies = rows.select("tid", "body")
+    copies = bodies.groupBy("tid").agg(F.count("*").alias("_copies")).where("_copies > 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([k.decode("utf-8", "ignore") for k in b.column("kept").to_pylist()], pa.string())], ["tid", "_kept"])
+
+    kept = removed(bodies, least).select("tid", "kept").mapInArrow(run, "tid binary, _kept string")
+    whole = F.col("_copies").isNotNull() & (F.length("body") >= least)
+    text = F.when(whole, F.lit("")).otherwise(F.coalesce("_kept", "text"))
+    made = rows.join(copies, "tid", "left").join(kept, "tid", "left").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return made.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_body(lead_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"]))
     bodies = docs.select("tid", "body")
