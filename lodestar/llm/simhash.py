@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +63,14 @@ def fingerprint(text: str | None, words_in: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, words_in: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of each row of docs(doc_id, text)."""
+    """doc_id, digest and fp (the fingerprint's bits as a signed long) of each row of docs(doc_id, text, digest)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            fp = np.fromiter((fingerprint(t, words_in, seed) for t in f["text"]), np.uint64, len(f))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "fp": fp.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(t, words_in, seed) for t in b.column("text").to_pylist()), np.uint64, len(b))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(fp.view(np.int64))], ["doc_id", "digest", "fp"])
 
-    return lead_columns(docs, ["doc_id", "text"]).mapInPandas(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", "digest").mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -188,14 +189,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, least: label is the smallest label of the nodes that edges(a, b) connect; nodes(node, label) as given.
+    """node, least, head: the smallest label of the nodes that edges(a, b) connect, and its node; nodes(node, label) as given.
 
     Rounds of hooking (the smallest label around) and jumping (the label of the node that
     carries this label), written out each round, so that labels settle in few rounds.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     if both.isEmpty():
-        return nodes.select("node", F.col("label").alias("least"))
+        return nodes.select("node", F.col("label").alias("least"), F.col("node").alias("head"))
     linked = nodes.join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
     # A root is a node; comp is the node whose label is the least met so far.
     state = written(linked.select("node", F.struct("label", "node").alias("low")))
@@ -209,19 +210,33 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state = after.select("node", F.col("new").alias("low"))
         if not changed:
             break
-    found = state.select("node", F.col("low.label").alias("found"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("found", "label").alias("least"))
+    found = state.select("node", F.col("low.label").alias("found"), F.col("low.node").alias("at"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("found", "label").alias("least"), F.coalesce("at", "node").alias("head"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs."""
+    """doc_id, digest, fp, component_id, head (a fingerprint, one for each component) for each row of docs(doc_id, text, digest)."""
     made = written(fingerprints(docs))
     distinct = written(made.groupBy("fp").agg(F.min("doc_id").alias("label")))
     found = links(distinct.select("fp"), radius)
     parts = components(distinct.select(F.col("fp").alias("node"), "label"), found)
-    return made.join(parts.select(F.col("node").alias("fp"), F.col("least").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+    return made.join(parts.select(F.col("node").alias("fp"), F.col("least").alias("component_id"), "head"), "fp").select("doc_id", "digest", "fp", "component_id", "head")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row of least doc_id (null last), then of least digest."""
+    rows = docs.withColumn("_digest", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    found = written(near_duplicates(rows.select("doc_id", "text", F.col("_digest").alias("digest")), radius))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")).alias("keep")
+    keep = found.groupBy("head").agg(first).select(F.col("keep.doc_id").alias("_id"), F.col("keep.digest").alias("_digest"))
+    kept = rows.join(keep, (rows["_digest"] == keep["_digest"]) & rows["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    alike = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    if not alike.isEmpty():  # rows that repeat in all columns
+        kept = kept.dropDuplicates(["doc_id", "_digest"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    docs = lead_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    found = near_duplicates(docs.withColumn("digest", F.lit(0).cast("long")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
