@@ -125,10 +125,13 @@ def fullest(counts: dict[int, int], size: int) -> list[int]:
 
     reach[k] has bit s set if some combination of the first k lengths' copies has sum s.
     Copies are added in blocks of 1, 2, 4, ...; walking back from the best sum names them.
+    counts' keys are in falling order.
     """
     mask = (1 << (size + 1)) - 1
     reach, blocks, now = [], [], 1
-    for length in sorted(counts, reverse=True):
+    for length in counts:
+        if length > size:
+            continue
         left, block = min(counts[length], size // length), 1
         while left:
             block = min(block, left)
@@ -151,18 +154,24 @@ def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """bin and offset of each of the lengths (each from 1 to size); equal lengths are taken in order."""
     order = np.argsort(lengths, kind="stable")
     values, firsts, counts = np.unique(lengths[order], return_index=True, return_counts=True)
-    free = dict(zip(values.tolist(), counts.tolist(), strict=True))
+    free = dict(zip(values[::-1].tolist(), counts[::-1].tolist(), strict=True))
     following = {v: iter(order[a : a + n].tolist()) for v, a, n in zip(values.tolist(), firsts.tolist(), counts.tolist(), strict=True)}
     bins, offsets, k = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
     while free:
         at = 0
-        for length in fullest(free, size):
+
+        def take(length: int) -> None:
+            nonlocal at
             i = next(following[length])
             bins[i], offsets[i] = k, at
             at += length
             free[length] -= 1
             if not free[length]:
                 del free[length]
+
+        take(next(iter(free)))
+        for length in fullest(free, size - at) if at < size else []:
+            take(length)
         k += 1
     return bins, offsets
 
