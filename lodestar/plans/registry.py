@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestar.plans import analytics, relational  # noqa: F401  they fill the registry
+from lodestar.plans.base import ORACLE, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "Query"]
