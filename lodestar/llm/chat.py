@@ -8,14 +8,15 @@ before each character that has one gives the text back.
 Conversations that share initial turns share nodes: a node is a turn with all turns before
 it, named by a chained 128-bit hash. Nodes are emitted once, depth first (in the order of
 their paths), in one sequence: a node has the place of its first token there, its position
-id (the sum of the lengths above it), and as attention the places of its ancestors and
-itself. A token here is a code point of the formatted text; positions of a node's tokens
+id (the sum of the lengths above it), and as attention the stretches there that its
+ancestors and itself cover (nodes in a row without a branch are one stretch). A token here is a code point of the formatted text; positions of a node's tokens
 follow one another. The loss mask covers the text of assistant turns.
 
 Distribution: conversations are sorted streams, so that a task holds one turn at a time
-(and the path to it); shared turns are aggregated before they are shuffled; the depth-first
-sequence is a range partitioning by path with a running sum, so a first turn that a third
-of all conversations share is one row, and its subtree spreads over tasks.
+(and the branches above it); shared turns are aggregated before they are shuffled; the
+depth-first sequence is a range partitioning of branches by path with a running sum, so a
+first turn that a third of all conversations share is one row, and its subtree spreads over
+tasks.
 
 Defined cases: a null text or role is an empty one; turns are in the order of (turn, role,
 text), a null turn first; repeated rows are turns of their own; rows without conv_id form
@@ -63,28 +64,26 @@ def parse(written_turn: str) -> tuple[str, str]:
     return unescape(head[1]), unescape(written_turn[head.end() : -len(FOOT)])
 
 
-TURNS = "conv_id long, depth int, node binary, path array<binary>, position long, chars long, loss_from long, loss_to long, segment string"
+TURNS = "conv_id long, depth int, node binary, parent binary, position long, chars long, loss_from long, loss_to long, segment string"
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """A row for each turn: its conversation, depth from 0, node, path of nodes to it, position id, and how it is written."""
+    """A row for each turn: its conversation, depth from 0, node, the node before it, position id, and how it is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: object = ()
-        path: list[bytes] = []
-        position = 0
+        parent, depth, position = None, 0, 0
         for b in batches:
             out = []
             for conv, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if conv != at:
-                    at, path, position = conv, [], 0
+                    at, parent, depth, position = conv, None, 0, 0
                 seg, a, z = segment(role, text)
-                node = hashlib.blake2b((path[-1] if path else b"") + seg.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                path = [*path, node]
-                out.append((conv, len(path) - 1, node, path, position, len(seg), a, z, seg))
-                position += len(seg)
+                node = hashlib.blake2b((parent or b"") + seg.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                out.append((conv, depth, node, parent, position, len(seg), a, z, seg))
+                parent, depth, position = node, depth + 1, position + len(seg)
             cols = list(zip(*out, strict=True)) if out else [[]] * 9
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in TURNS.split(", ")])
 
     rows = lead_columns(conversations, ["conv_id", "turn", "role", "text"]).select("conv_id", "turn", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")))
@@ -92,38 +91,75 @@ def turns(conversations: DataFrame) -> DataFrame:
     return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, TURNS)
 
 
+def chains(steps: DataFrame) -> DataFrame:
+    """node, head, path for steps(conv_id, depth, node, branch): the first node of each node's chain, and for heads the heads above and their own.
+
+    A chain is a run of nodes without a branch: it starts at a root or below a node with
+    several children. A path names chains, so a long conversation that shares little has a
+    short one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: object = ()
+        path: list[bytes] = []
+        for b in batches:
+            heads, paths = [], []
+            for conv, node, branch in zip(*(b.column(c).to_pylist() for c in ("conv_id", "node", "branch")), strict=True):
+                if conv != at:
+                    at, path = conv, []
+                if branch or not path:
+                    path = [*path, node]
+                    paths.append(path)
+                else:
+                    paths.append(None)
+                heads.append(path[-1])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(heads, pa.binary()), pa.array(paths, pa.list_(pa.binary()))], ["node", "head", "path"])
+
+    n = shuffle_partitions(steps.sparkSession)
+    each = steps.repartition(n, "conv_id").sortWithinPartitions("conv_id", "depth").mapInArrow(run, "node binary, head binary, path array<binary>")
+    return each.groupBy("node").agg(F.first("head").alias("head"), F.first("path").alias("path"))
+
+
 def prefix_tree(made: DataFrame) -> DataFrame:
     """node, parent, depth, place, position, chars, loss_from, loss_to, segment, attention for made, a written turns() table.
 
     place: where the node's first token stands in the depth-first sequence; attention: from
-    and to (exclusive) of each ancestor there and of the node, from the root on.
+    and to (exclusive) of what the node's tokens see there, a stretch for each chain above
+    and one from the head of its own chain to its end.
     """
-    fields = ["depth", "path", "position", "chars", "loss_from", "loss_to", "segment"]
+    fields = ["parent", "depth", "position", "chars", "loss_from", "loss_to", "segment"]
     nodes = made.groupBy("node").agg(*(F.first(c).alias(c) for c in fields))
     n = shuffle_partitions(made.sparkSession)
-    nodes = written(nodes.repartitionByRange(n, "path").withColumn("part", F.spark_partition_id()))
+    nodes = written(nodes)
+    branches = nodes.where("parent is not null").groupBy("parent").agg((F.count("*") > 1).alias("branch")).where("branch")
+    steps = made.select("conv_id", "depth", "node", "parent").join(branches, "parent", "left")
+    nodes = written(nodes.join(chains(steps.select("conv_id", "depth", "node", F.coalesce("branch", F.lit(False)).alias("branch"))), "node"))
+    sizes = nodes.groupBy("head").agg(F.sum("chars").alias("length"), F.min("position").alias("from"), F.first("path", True).alias("path"))
+    ordered = written(sizes.repartitionByRange(n, "path").withColumn("part", F.spark_partition_id()))
     base, before = {}, 0
-    for r in nodes.groupBy("part").agg(F.sum("chars").alias("chars")).orderBy("part").collect():  # a row for each partition
+    for r in ordered.groupBy("part").agg(F.sum("length").alias("length")).orderBy("part").collect():  # a row for each partition
         base[r["part"]] = before
-        before += r["chars"]
+        before += r["length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = None, 0
         for b in batches:
             places = []
-            for p, chars in zip(b.column("part").to_pylist(), b.column("chars").to_pylist(), strict=True):
+            for p, length in zip(b.column("part").to_pylist(), b.column("length").to_pylist(), strict=True):
                 if p != part:
                     part, place = p, base[p]
                 places.append(place)
-                place += chars
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(places, pa.int64())], ["node", "place"])
-
-    order = nodes.select("node", "path", "part", "chars").repartition(n, "part").sortWithinPartitions("part", "path")
-    placed = written(nodes.drop("part").join(order.mapInArrow(run, "node binary, place long"), "node"))
-    above = placed.select("node", F.explode("path").alias("up")).join(placed.select(F.col("node").alias("up"), "place", "chars"), "up")
-    attention = above.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("first"), (F.col("place") + F.col("chars")).alias("past")))).alias("attention"))
-    parent = F.when(F.col("depth") > 0, F.element_at("path", -2)).alias("parent")
-    return placed.join(attention, "node").select("node", parent, "depth", "place", *fields[2:], "attention")
+                place += length
+            yield pa.RecordBatch.from_arrays([b.column("head"), pa.array(places, pa.int64())], ["head", "start"])
+
+    order = ordered.select("head", "path", "part", "length").repartition(n, "part").sortWithinPartitions("part", "path")
+    laid = written(ordered.drop("part").join(order.mapInArrow(run, "head binary, start long"), "head"))
+    above = laid.select("head", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("up")).join(laid.select(F.col("head").alias("up"), "start", "length"), "up")
+    seen = above.groupBy("head").agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("length")).alias("past")))).alias("above"))
+    j = nodes.drop("path").join(laid.drop("path", "length").join(seen, "head", "left"), "head")
+    j = j.withColumn("place", F.col("start") + F.col("position") - F.col("from"))
+    own = F.array(F.struct(F.col("start").alias("first"), (F.col("place") + F.col("chars")).alias("past")))
+    return j.select("node", "parent", "depth", "place", *fields[2:], F.when(F.col("above").isNull(), own).otherwise(F.concat("above", own)).alias("attention"))
 
 
 def read_back(made: DataFrame, tree: DataFrame) -> DataFrame:

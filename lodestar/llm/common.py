@@ -53,6 +53,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def lead_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the named columns of df: extra columns, whatever their names, stay out of the plan."""
+    ship(df.sparkSession)
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar import ship
 from lodestar.llm.common import lead_columns, shuffle_partitions, table, written
 
 SHINGLE = 3
@@ -225,6 +226,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row of least doc_id (null last), then of least digest."""
+    ship(docs.sparkSession)
     rows = docs.withColumn("_digest", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
     found = written(near_duplicates(rows.select("doc_id", "text", F.col("_digest").alias("digest")), radius))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")).alias("keep")

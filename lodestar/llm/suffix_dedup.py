@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar import ship
 from lodestar.llm.common import lead_columns, shuffle_partitions, table, written
 
 LEAST = 400
@@ -381,6 +382,7 @@ def removed(bodies: DataFrame, least: int = LEAST, gram: int = GRAM, key_context
 
 def with_body(docs: DataFrame) -> DataFrame:
     """docs with body (the text's bytes) and tid (their SHA-256)."""
+    ship(docs.sparkSession)
     body = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     return docs.withColumn("body", body).withColumn("tid", F.unhex(F.sha2(body, 256)))
 
