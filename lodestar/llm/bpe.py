@@ -26,7 +26,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm.common import lead_columns, table
@@ -210,34 +210,36 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens, decoded for each row of docs(doc_id, text)."""
     path = path or default_path()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for f in frames:
-            ids = [bpe.encode_bytes(t) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "ids": ids, "n_tokens": [len(i) // 4 for i in ids], "decoded": [bpe.decode(np.frombuffer(i, "<u4")) for i in ids]})
+        for b in batches:
+            ids = [bpe.encode_bytes(t) for t in b.column("text").to_pylist()]
+            decoded = [bpe.decode(np.frombuffer(i, "<u4")) for i in ids]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(decoded, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
-    return lead_columns(docs, ["doc_id", "text"]).mapInPandas(run, "doc_id long, ids binary, n_tokens long, decoded string")
+    return lead_columns(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """As encode_decode, with digests in place of the ids and the text, which then never leave the worker."""
     path = path or default_path()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for f in frames:
+        for b in batches:
             rows = []
-            for doc_id, text in zip(f["doc_id"], f["text"], strict=True):
-                ids = bpe.encode_bytes(text)
+            for text in b.column("text"):
+                ids = bpe.encode_bytes(text.as_py())
                 decoded = bpe.decode(np.frombuffer(ids, "<u4"))
-                rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+            n, a, z = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(z, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return lead_columns(docs, ["doc_id", "text"]).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return lead_columns(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm.common import lead_columns, table
@@ -466,14 +466,14 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html)."""
     trees = trees or trained()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts: list[str] = []
-            for k in range(0, len(f), 100):
-                texts += main_texts([h or "" for h in f["html"].iloc[k : k + 100]], trees)
-            yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, len(b), 100):
+                part = b.slice(k, 100)
+                texts = main_texts([h or "" for h in part.column("html").to_pylist()], trees)
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return lead_columns(pages, ["page_id", "url", "html"]).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return lead_columns(pages, ["page_id", "url", "html"]).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

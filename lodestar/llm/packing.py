@@ -25,7 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,18 +106,20 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, separ
     path = path or default_path()
     last = np.array([separator], "<u4").tobytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = load(path)
-        for f in frames:
-            rows = []
-            texts = ["" if t is None else t for t in f["text"]]
-            for k in range(0, len(texts), 500):
-                for doc_id, ids in zip(f["doc_id"].iloc[k : k + 500], tokens.encode(texts[k : k + 500]), strict=True):
+        for b in batches:
+            for k in range(0, len(b), 500):
+                part = b.slice(k, 500)
+                rows = []
+                for i, ids in enumerate(tokens.encode([t or "" for t in part.column("text").to_pylist()])):
                     ids += last
-                    rows += [(doc_id, p, at // 4, len(part) // 4, zlib.crc32(part)) for p, at in enumerate(range(0, len(ids), 4 * size)) for part in [ids[at : at + 4 * size]]]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows += [(i, p, at // 4, len(cut) // 4, zlib.crc32(cut)) for p, at in enumerate(range(0, len(ids), 4 * size)) for cut in [ids[at : at + 4 * size]]]
+                of, *cols = zip(*rows, strict=True)
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], NAMES[:5])
 
-    return lead_columns(docs, ["doc_id", "text"]).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return lead_columns(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], size: int) -> list[int]:
@@ -187,12 +189,12 @@ def best_fit(cut: DataFrame, size: int = SEQUENCE, shard_pieces: int = SHARD_PIE
     shards = max(1, cut.where(~full).count() // shard_pieces)
     dealt = cut.where(~full).withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", F.rand(7)), F.lit(shards)))
 
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["doc_id", "piece"], kind="stable", na_position="first")
-        bins, offsets = pack(f["length"].to_numpy(), size)
-        return f.assign(sequence_id=2 * (bins * shards + int(key[0])), offset=offsets)[NAMES]
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        bins, offsets = pack(t["length"].to_numpy(), size)
+        return t.select(NAMES[:5]).append_column("sequence_id", pa.array(2 * (bins * shards + key[0].as_py()), pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    packed = dealt.groupBy("_shard").applyInPandas(run, SCHEMA)
+    packed = dealt.groupBy("_shard").applyInArrow(run, SCHEMA)
     alone = cut.where(full).withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(alone.select(NAMES))
 

@@ -227,14 +227,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row of least doc_id (null last), then of least digest."""
     ship(docs.sparkSession)
-    rows = docs.withColumn("_digest", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    found = written(near_duplicates(rows.select("doc_id", "text", F.col("_digest").alias("digest")), radius))
+    rows = docs.withColumn("_ld_digest", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    found = written(near_duplicates(rows.select("doc_id", "text", F.col("_ld_digest").alias("digest")), radius))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")).alias("keep")
-    keep = found.groupBy("head").agg(first).select(F.col("keep.doc_id").alias("_id"), F.col("keep.digest").alias("_digest"))
-    kept = rows.join(keep, (rows["_digest"] == keep["_digest"]) & rows["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    keep = found.groupBy("head").agg(first).select(F.col("keep.doc_id").alias("_ld_id"), F.col("keep.digest").alias("_ld_digest"))
+    kept = rows.join(keep, (rows["_ld_digest"] == keep["_ld_digest"]) & rows["doc_id"].eqNullSafe(keep["_ld_id"]), "left_semi")
     alike = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
     if not alike.isEmpty():  # rows that repeat in all columns
-        kept = kept.dropDuplicates(["doc_id", "_digest"])
+        kept = kept.dropDuplicates(["doc_id", "_ld_digest"])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

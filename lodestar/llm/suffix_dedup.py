@@ -389,18 +389,18 @@ def with_body(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with text (and n_chars, if it is there) after removal; bytes of characters that are cut through go too."""
-    rows = with_body(docs)
-    bodies = rows.select("tid", "body")
-    copies = bodies.groupBy("tid").agg(F.count("*").alias("_copies")).where("_copies > 1")
+    bodies = with_body(lead_columns(docs, ["text"])).select("tid", "body")
+    copies = bodies.groupBy(F.col("tid").alias("_ld_tid")).agg(F.count("*").alias("_ld_copies")).where("_ld_copies > 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([k.decode("utf-8", "ignore") for k in b.column("kept").to_pylist()], pa.string())], ["tid", "_kept"])
+            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([k.decode("utf-8", "ignore") for k in b.column("kept").to_pylist()], pa.string())], ["_ld_tid", "_ld_kept"])
 
-    kept = removed(bodies, least).select("tid", "kept").mapInArrow(run, "tid binary, _kept string")
-    whole = F.col("_copies").isNotNull() & (F.length("body") >= least)
-    text = F.when(whole, F.lit("")).otherwise(F.coalesce("_kept", "text"))
-    made = rows.join(copies, "tid", "left").join(kept, "tid", "left").withColumn("text", text)
+    kept = removed(bodies, least).select("tid", "kept").mapInArrow(run, "_ld_tid binary, _ld_kept string")
+    body = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    whole = F.col("_ld_copies").isNotNull() & (F.length(body) >= least)
+    text = F.when(whole, F.lit("")).otherwise(F.coalesce("_ld_kept", "text"))
+    made = docs.withColumn("_ld_tid", F.unhex(F.sha2(body, 256))).join(copies, "_ld_tid", "left").join(kept, "_ld_tid", "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return made.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -30,8 +30,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from lodestar.llm.common import lead_columns, table
 
@@ -222,16 +224,17 @@ def judge(docs: DataFrame, chain: Chain) -> DataFrame:
     """docs with p_<category> for each category and verdict (toxic: true)."""
     names = [f"p_{c}" for c in CATEGORIES]
     kept = [f for f in docs.schema.fields if f.name.lower() not in {*names, "is_toxic"}]
-    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
-
     schema = StructType([*kept, *(StructField(n, DoubleType()) for n in names), StructField("is_toxic", BooleanType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            p = np.concatenate([np.zeros((0, len(names))), *(chain.probabilities([chain.features(t) for t in f["text"].iloc[k : k + 1000]]) for k in range(0, len(f), 1000))])
-            yield f.assign(**{n: p[:, j] for j, n in enumerate(names)}, is_toxic=p[:, 1] >= chain.reject)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, len(b), 1000):
+                part = b.slice(k, 1000)
+                p = chain.probabilities([chain.features(t) for t in part.column("text").to_pylist()])
+                made = [*(pa.array(p[:, j]) for j in range(len(names))), pa.array(p[:, 1] >= chain.reject)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [f.name for f in schema.fields])
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInPandas(run, schema)
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
