@@ -35,7 +35,7 @@ from lodestar.llm.common import lead_columns, table, written
 SEQUENCE = 2048
 SEPARATOR = 0
 SHARD_PIECES = 20_000  # pieces in a packing shard, on average
-CHUNKS_KEPT = 600_000  # words that a worker remembers; it forgets all beyond
+CHUNKS_KEPT = 300_000  # words that a worker remembers; it forgets all beyond
 _ODD = re.compile("[\x1c-\x1fΣ]")
 
 

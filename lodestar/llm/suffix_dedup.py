@@ -179,7 +179,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(h):
         key <<= bits
-        key[: n - j] += letters[j:]
+        if j < n:
+            key[: n - j] += letters[j:]
     order = np.argsort(key)
     group = np.zeros(n + 1, np.int64)  # of each suffix: the place of its group's first member, from 1; 0 beyond the end
     ordered = key[order]

@@ -43,7 +43,7 @@ MARKERS = 384
 BEGINNINGS = (4, 5)
 FOLDS = 5
 LEAST_Z = 3.5
-CHUNKS_KEPT = 300_000
+CHUNKS_KEPT = 150_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
