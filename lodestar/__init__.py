@@ -10,9 +10,13 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Rows go to Python workers in batches of at most so many bytes (a single row may be longer), whatever a table's texts are like.
+BATCH_BYTES = 16 << 20
+
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each application, so that their Python workers can import it."""
+    """Gives the executors this package, once for each application, so that their Python workers can import it, and bounds Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
