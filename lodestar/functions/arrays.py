@@ -132,3 +132,28 @@ def kept_pixels_udf(threshold: float, least_area: int):
         return p.map(lambda v: int(filter_components(np.asarray(v)[: side(v) ** 2].reshape(side(v), side(v)), threshold, least_area).sum()))
 
     return run
+
+
+def dilated(mask: np.ndarray, size: int) -> np.ndarray:
+    """Whether any pixel of the size x size square around is set."""
+    r = size // 2
+    padded = np.pad(mask != 0, r)
+    out = np.zeros(mask.shape, bool)
+    for dy in range(size):
+        for dx in range(size):
+            out |= padded[dy : dy + mask.shape[0], dx : dx + mask.shape[1]]
+    return out
+
+
+def eroded(mask: np.ndarray, size: int) -> np.ndarray:
+    """Whether all pixels of the square around are set; beyond the edge counts as set."""
+    return ~dilated(mask == 0, size)
+
+
+def tissue_mask(rgb: np.ndarray, opening: int = 3, closing: int = 7) -> np.ndarray:
+    """Saturated pixels (Otsu's threshold), small specks removed, small holes filled."""
+    high, low = rgb.max(2).astype(float), rgb.min(2).astype(float)
+    saturation = np.where(high > 0, np.rint(255 * (high - low) / np.maximum(high, 1)), 0).astype(np.int64)
+    mask = saturation > otsu(saturation)
+    mask = dilated(eroded(mask, opening), opening)
+    return eroded(dilated(mask, closing), closing)

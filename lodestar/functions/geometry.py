@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +78,41 @@ def windows_on_boxes(windows: DataFrame, boxes: DataFrame, size: int, cell: int)
     hx, hy = F.least("x1w", "x1"), F.least("y1w", "y1")
     here = (F.floor(lx / cell) == F.col("cx")) & (F.floor(ly / cell) == F.col("cy"))
     return j.where((lx < hx) & (ly < hy) & here).select("window", "box", ((hx - lx) * (hy - ly)).alias("area"))
+
+
+def rings_overlap(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two simple rings share a positive area: edges that cross, or one inside the other."""
+    if (a.max(0) <= b.min(0)).any() or (b.max(0) <= a.min(0)).any():
+        return False
+    a2, b2 = np.roll(a, -1, axis=0), np.roll(b, -1, axis=0)
+
+    def side(p, q, r):
+        return (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
+
+    p, q, r, s = a[:, None], a2[:, None], b[None], b2[None]
+    if ((side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)).any():
+        return True
+    inner = lambda ring: [*((ring + np.roll(ring, -1, axis=0)) / 2), ring[:3].mean(0)]
+    return any(contains(b, x, y) for x, y in inner(a)) or any(contains(a, x, y) for x, y in inner(b))
+
+
+def overlapping_polygons(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """Pairs of ids of left(l, ring) and right(r, ring) whose rings overlap: a grid join on bounding boxes, refined in batches."""
+    def boxed(t: DataFrame, key: str) -> DataFrame:
+        xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+        ends = {"lox": F.array_min(xs), "hix": F.array_max(xs), "loy": F.array_min(ys), "hiy": F.array_max(ys)}
+        t = t.select(key, F.col("ring").alias(f"ring_{key}"), *(v.alias(f"{n}_{key}") for n, v in ends.items()))
+        span = lambda c: F.sequence(F.floor(F.col(f"lo{c}_{key}") / cell), F.floor(F.col(f"hi{c}_{key}") / cell))
+        return t.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+
+    j = boxed(left, "l").join(boxed(right, "r"), ["cx", "cy"]).where("lox_l < hix_r and lox_r < hix_l and loy_l < hiy_r and loy_r < hiy_l")
+    first = (F.floor(F.greatest("lox_l", "lox_r") / cell) == F.col("cx")) & (F.floor(F.greatest("loy_l", "loy_r") / cell) == F.col("cy"))
+    pairs = j.where(first).select("l", "r", "ring_l", "ring_r")
+
+    def refine(frames):
+        ring = lambda v: np.array([(p["x"], p["y"]) for p in v])
+        for f in frames:
+            hit = [rings_overlap(ring(a), ring(b)) for a, b in zip(f["ring_l"], f["ring_r"], strict=True)]
+            yield pd.DataFrame({"l": f["l"][hit], "r": f["r"][hit]})
+
+    return pairs.mapInPandas(refine, "l long, r long")

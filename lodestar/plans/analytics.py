@@ -12,6 +12,7 @@ from lodestar.functions import geometry, hashing
 from lodestar.functions import references as ref
 from lodestar.functions import text as txt
 from lodestar.operators import metrics as met
+from lodestar.operators import objectives
 from lodestar.operators import quality
 from lodestar.operators import selection as sel
 from lodestar.plans.base import confusion, indexed, patches, query, rates, read, scored, state
@@ -199,6 +200,54 @@ def c22(spark, d):
     return met.exact_average_precision(scored(spark, d), "p", "truth")
 
 
+TRIALS = "SELECT unnest([0, 1, 2]) AS trial, unnest([0.02, 0.05, 0.2]::DOUBLE[]) AS th"
+
+
+@query("c21_region_objective", f"""WITH f AS (SELECT trial, patient_id, count(*) FILTER (l_discount > th AND truth) AS hit, count(*) FILTER (l_discount > th) AS region, count(*) FILTER (truth) AS truth, count(*) AS size
+  FROM (SELECT l_suppkey AS patient_id, l_discount, l_returnflag = 'R' AND l_suppkey % 2 = 0 AS truth FROM lineitem) CROSS JOIN ({TRIALS}) GROUP BY 1, 2),
+  t AS (SELECT trial, coalesce(avg(CASE WHEN truth > 0 THEN hit / (truth + 1e-7::DOUBLE) END), 0.0) AS recall, coalesce(avg(CASE WHEN truth = 0 THEN region / size::DOUBLE END), 0.0) AS negative, avg(CASE WHEN region = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS empty, median(region / size::DOUBLE) AS med, avg(truth / size::DOUBLE) AS density FROM f GROUP BY 1),
+  s AS (SELECT *, CASE WHEN empty > 0.2 THEN 'empty' WHEN recall < 0.3 THEN 'misses' WHEN med > greatest(0.6, density + 0.15) THEN 'permissive' ELSE 'ok' END AS status FROM t)
+  SELECT trial, status, CASE WHEN status = 'ok' THEN round(recall - 0.1 * negative, 6) END AS objective FROM s""")
+def c21(spark, d):
+    """Three trials: each patient's line items are counted once under all thresholds."""
+    truth = (F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 2 == 0)
+    li = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("patient_id"), "l_discount", truth.alias("t"))
+    ths = [0.02, 0.05, 0.2]
+    over = lambda th: F.col("l_discount") > th
+    each = [F.struct(F.lit(i).alias("trial"), F.count_if(over(th) & F.col("t")).alias("hit"), F.count_if(over(th)).alias("region")) for i, th in enumerate(ths)]
+    g = li.groupBy("patient_id").agg(F.count_if("t").alias("truth"), F.count("*").alias("size"), F.array(*each).alias("trials"))
+    facts = g.select("patient_id", "truth", "size", F.explode("trials").alias("x")).select("patient_id", "truth", "size", "x.*")
+    return objectives.region_objective(facts, "trial", {"empty": 0.2, "recall": 0.3, "median": 0.6, "penalty": 0.1})
+
+
+@query("c22_spatial_objective", """SELECT trial, round(coalesce(avg(CASE WHEN positive THEN ap END), 0.0) - 0.2 * avg(outside / (mass + 1e-7)) - 0.1 * coalesce(avg(CASE WHEN NOT positive THEN mean END), 0.0), 6) AS objective
+  FROM (SELECT user_id % 3 AS trial, user_id, sum(truth) > 12 AS positive, avg(CASE WHEN truth = 1 THEN p END) AS ap, sum(CASE WHEN truth = 0 THEN p ELSE 0 END) AS outside, sum(p) AS mass, avg(p) AS mean FROM scored GROUP BY 1, 2) GROUP BY 1""", "scored")
+def c22_spatial(spark, d):
+    s = scored(spark, d)
+    yes = F.col("truth") == 1
+    facts = s.groupBy((F.col("user_id") % 3).alias("trial"), "user_id").agg((F.sum("truth") > 12).alias("positive"), F.avg(F.when(yes, F.col("p"))).alias("ap"), F.sum(F.when(~yes, F.col("p")).otherwise(0.0)).alias("outside"), F.sum("p").alias("mass"), F.avg("p").alias("mean"))
+    return objectives.spatial_objective(facts, "trial", 0.2, 0.1)
+
+
+@query("c42_recipe", """SELECT p_partkey, role, weight, row_number() OVER (ORDER BY CASE role WHEN 'semantic' THEN 0 WHEN 'spatial' THEN 1 ELSE 2 END, weight DESC, p_partkey) AS position
+  FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'spatial' ELSE 'none' END AS role, CASE WHEN p_partkey % 3 = 2 THEN 0.0 ELSE p_size / 50.0::DOUBLE END AS weight FROM part WHERE p_partkey < 60)""")
+def c42(spark, d):
+    p = read(spark, d, "part").where("p_partkey < 60")
+    k = F.col("p_partkey") % 3
+    weights = p.where("p_partkey % 3 <> 2").select("p_partkey", F.when(k == 0, "semantic").otherwise("spatial").alias("role"), (F.col("p_size") / 50.0).alias("weight"))
+    return objectives.recipe(p.select("p_partkey"), "p_partkey", weights)
+
+
+@query("j11_polygon_overlaps", 'SELECT a.box AS l, b.box AS r FROM (SELECT p_partkey AS box, (p_partkey * 37 % 900)::DOUBLE AS x0, (p_partkey * 53 % 900)::DOUBLE AS y0, p_size::DOUBLE AS s FROM part WHERE p_partkey % 2 = 0) a JOIN (SELECT p_partkey AS box, (p_partkey * 37 % 900)::DOUBLE AS x0, (p_partkey * 53 % 900)::DOUBLE AS y0, p_size::DOUBLE AS s FROM part WHERE p_partkey % 2 = 1) b ON a.x0 < b.x0 + b.s AND b.x0 < a.x0 + a.s AND a.y0 < b.y0 + b.s AND b.y0 < a.y0 + a.s')
+def j11(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    x, y = (k * 37 % 900).cast("double"), (k * 53 % 900).cast("double")
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    ring = F.array(point(x, y), point(x + s, y), point(x + s, y + s), point(x, y + s))
+    p = read(spark, d, "part")
+    return geometry.overlapping_polygons(p.where("p_partkey % 2 = 0").select(k.alias("l"), ring.alias("ring")), p.where("p_partkey % 2 = 1").select(k.alias("r"), ring.alias("ring")), 64.0)
+
+
 @query("c23_threshold_by_f1", "SELECT threshold, f1 FROM (SELECT t.threshold, round(coalesce(2.0::DOUBLE * count(*) FILTER (p > threshold AND truth = 1) / nullif(2 * count(*) FILTER (p > threshold AND truth = 1) + count(*) FILTER (p > threshold AND truth = 0) + count(*) FILTER (p <= threshold AND truth = 1), 0), 0.0), 6) AS f1 FROM scored CROSS JOIN (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS threshold) t GROUP BY 1) ORDER BY f1 DESC, threshold LIMIT 1", "scored")
 def c23(spark, d):
     return met.threshold_by_f1(scored(spark, d), "p", "truth", [round(0.05 * k, 2) for k in range(1, 20)])

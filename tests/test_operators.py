@@ -198,3 +198,17 @@ def test_entropy_and_otsu(spark):
     stains = np.array([[0.65, 0.7, 0.29], [0.07, 0.99, 0.11]])
     amounts = arr.stain_concentrations(np.clip(256 * np.exp(-np.array([[0.5, 0.2]]) @ stains) - 1, 0, 255), stains)
     assert np.allclose(amounts, [[0.5, 0.2]], atol=1e-6)
+
+
+def test_rings_and_tissue():
+    square = np.array([[0, 0], [4, 0], [4, 4], [0, 4.0]])
+    assert geo.rings_overlap(square, square + 2) and geo.rings_overlap(square, square / 4 + 1) and geo.rings_overlap(square, square)
+    assert not geo.rings_overlap(square, square + 4) and not geo.rings_overlap(square, square + [4, 0])  # a shared edge has no area
+    star = np.array([[0, 0], [10, 0], [10, 10], [5, 1], [0, 10.0]])
+    assert not geo.rings_overlap(star, np.array([[4, 6], [6, 6], [6, 9], [4, 9.0]]))  # inside the box, outside the ring
+    image = np.full((20, 20, 3), 250, np.uint8)
+    image[5:15, 5:15] = (200, 60, 120)
+    image[9, 9] = 250
+    image[1, 1] = (200, 60, 120)
+    mask = arr.tissue_mask(image)
+    assert mask[5:15, 5:15].all() and not mask[1, 1] and mask.sum() == 100
