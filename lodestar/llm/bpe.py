@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm.common import lead_columns, table
+from lodestar.llm.common import hold, lead_columns, table
 
 END = "\x00"  # stands for the word end inside the automaton; never a byte-level character
 CHUNKS_KEPT = 250_000  # entries of the per-worker cache of encoded words; it is emptied beyond
@@ -215,6 +215,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", load.cache_clear)
         bpe = load(path)
         for b in batches:
             ids = [bpe.encode_bytes(t) for t in b.column("text").to_pylist()]
@@ -229,6 +230,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", load.cache_clear)
         bpe = load(path)
         for b in batches:
             rows = []

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,4 +58,18 @@ def lead_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+_HOLDER: list = ["", lambda: None]
+
+
+def hold(owner: str, drop: Callable[[], object]) -> None:
+    """In a Python worker: lets go of what another operator's tasks have kept there, and notes how to drop the owner's.
+
+    Workers outlive tasks, and so do their caches; only those of the operator at work stay.
+    """
+    if _HOLDER[0] != owner:
+        _HOLDER[1]()
+        pa.default_memory_pool().release_unused()
+    _HOLDER[:] = [owner, drop]
+
+
 Query = Callable[[SparkSession, str], DataFrame]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.bpe import default_path
-from lodestar.llm.common import lead_columns, table, written
+from lodestar.llm.common import hold, lead_columns, table, written
 
 SEQUENCE = 2048
 SEPARATOR = 0
@@ -107,6 +107,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, separ
     last = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("packing", load.cache_clear)
         tokens = load(path)
         for b in batches:
             for k in range(0, len(b), 500):

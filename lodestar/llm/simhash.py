@@ -27,6 +27,7 @@ one; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar import ship
-from lodestar.llm.common import lead_columns, shuffle_partitions, table, written
+from lodestar.llm.common import hold, lead_columns, shuffle_partitions, table, written
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+LONG_WORD = re.compile(rb"[a-z\x80-\xff]{7,}")
+FEW_WORDS = 16
 BUCKET = 256  # fingerprints that one bucket holds before it is dealt anew
 
 
@@ -56,22 +59,50 @@ def fingerprint(text: str | None, words_in: int = SHINGLE, seed: int = SEED) ->
         return h(line, seed)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[: -words_in] + 1]).tolist()
-    hashes = np.array([h(line[a:b], seed) for a, b in zip(starts, ends[words_in - 1 :].tolist(), strict=True)], "<u8")
+    return majority(np.array([h(line[a:b], seed) for a, b in zip(starts, ends[words_in - 1 :].tolist(), strict=True)], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words_in: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, digest and fp (the fingerprint's bits as a signed long) of each row of docs(doc_id, text, digest)."""
+def views_of(text: str | None, views: int) -> list[int]:
+    """The fingerprint, and views - 1 more: majorities of different hashes of the text's distinct long words.
+
+    A changed word changes three shingles but one word, and common short words, which all
+    texts share, do not count; so texts that are alike but not equal come closer. A text with
+    few long words has its fingerprint in every view.
+    """
+    from xxhash import xxh64_intdigest as h
+
+    own = fingerprint(text)
+    words = set(LONG_WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())) if views > 1 else set()
+    if len(words) < FEW_WORDS:
+        return [own] * views
+    base = np.array([h(w, SEED) for w in words], "<u8")
+    out = [own]
+    for k in range(1, views):
+        z = base + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(z ^ (z >> np.uint64(31))))
+    return out
+
+
+def fingerprints(docs: DataFrame, views: int = 1) -> DataFrame:
+    """doc_id, digest and fps (each view's bits as a signed long) of each row of docs(doc_id, text, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash", int)
         for b in batches:
-            fp = np.fromiter((fingerprint(t, words_in, seed) for t in b.column("text").to_pylist()), np.uint64, len(b))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(fp.view(np.int64))], ["doc_id", "digest", "fp"])
+            fps = np.array([views_of(t, views) for t in b.column("text").to_pylist()], np.uint64).reshape(len(b), views)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "digest", "fps"])
 
-    return docs.select("doc_id", "text", "digest").mapInArrow(run, "doc_id long, digest long, fp long")
+    return docs.select("doc_id", "text", "digest").mapInArrow(run, "doc_id long, digest long, fps array<long>")
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -129,9 +160,12 @@ def _pairs(out: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return np.concatenate([none, *(x for x, _ in out)]), np.concatenate([none, *(y for _, y in out)])
 
 
+BUCKET_OF = ["view", "mask", "key"]
+
+
 def _solve(radius: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows of a partition sorted by (mask, key): whole buckets, one after another; small ones by offset, all at once."""
+        """Rows of a partition sorted by (view, mask, key): whole buckets, one after another; small ones by offset, all at once."""
         held: list[pd.DataFrame] = []
         size = 0
         for f in frames:
@@ -139,8 +173,8 @@ def _solve(radius: int):
             size += len(f)
             if size >= 200_000:
                 f = pd.concat(held, ignore_index=True)
-                m, k = f["mask"].to_numpy(), f["key"].to_numpy()
-                tail = int(np.flatnonzero((m != m[-1]) | (k != k[-1]))[-1]) + 1 if ((m != m[-1]) | (k != k[-1])).any() else 0
+                other = np.flatnonzero((f[BUCKET_OF].to_numpy() != f[BUCKET_OF].to_numpy()[-1]).any(1))
+                tail = int(other[-1]) + 1 if len(other) else 0
                 yield _links(f.iloc[:tail], radius)
                 held, size = [f.iloc[tail:]], len(f) - tail
         if held:
@@ -150,43 +184,47 @@ def _solve(radius: int):
 
 
 def _links(f: pd.DataFrame, radius: int) -> pd.DataFrame:
-    mask, key, fps = (f[c].to_numpy(np.int64).view(np.uint64) for c in ("mask", "key", "fp"))
-    first = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])) if len(f) else np.zeros(0, np.int64)
+    view, mask, key, fps = (f[c].to_numpy(np.int64).view(np.uint64) for c in (*BUCKET_OF, "fp"))
+    start = np.concatenate([[True], (view[1:] != view[:-1]) | (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]) if len(f) else np.zeros(0, bool)
+    bucket = np.cumsum(start)
+    first = np.flatnonzero(start)
     sizes = np.diff(np.append(first, len(f)))
-    a, b = [], []
+    a, b, of = [], [], []
     top = int(sizes.max()) if len(sizes) else 0
     for d in range(1, min(top, 9)):  # neighbours at each distance inside small buckets
         i = np.arange(len(f) - d)
-        i = i[(mask[d:] == mask[:-d]) & (key[d:] == key[:-d])]
+        i = i[bucket[d:] == bucket[:-d]]
         i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= radius]
         a.append(fps[i])
         b.append(fps[i + d])
+        of.append(view[i])
     for k in np.flatnonzero(sizes > 9):
         own = fps[first[k] : first[k] + sizes[k]]
         free = ~int(mask[first[k]]) & (1 << 64) - 1
         found = links_by_listing(own, free, radius) if len(own) > 16 * BUCKET and free.bit_count() <= 20 else links_among(own, radius)
         a.append(found[0])
         b.append(found[1])
-    a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        of.append(np.full(len(found[0]), view[first[k]]))
+    a, b, of = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b, of))
+    return pd.DataFrame({"view": of, "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Links a < b that connect what all links of distinct(fp) connect. distinct: a written table."""
+    """view, a, b: links a < b that connect what all links of distinct(view, fp) connect in each view. distinct: a written table."""
     spark = distinct.sparkSession
     masks = covering_masks(list(range(64)), radius)
-    dealt = distinct.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    sizes = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(dealt.join(sizes, ["mask", "key"]))
+    dealt = distinct.select("view", "fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    sizes = dealt.groupBy(*BUCKET_OF).agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(dealt.join(sizes, BUCKET_OF))
     finer = F.lit(None)
     for m in masks:
         free = [b for b in range(64) if not m >> b & 1]
         finer = F.when(F.col("mask") == _signed(m), F.array(*(F.lit(_signed(m | x)) for x in covering_masks(free, radius)))).otherwise(finer)
-    small = shared.where(F.col("n") <= bucket).select("mask", "key", "fp")
-    large = shared.where(F.col("n") > bucket).select("fp", F.explode(finer).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    both = small.unionByName(large.select("mask", "key", "fp"))
+    small = shared.where(F.col("n") <= bucket).select(*BUCKET_OF, "fp")
+    large = shared.where(F.col("n") > bucket).select("view", "fp", F.explode(finer).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    both = small.unionByName(large.select(*BUCKET_OF, "fp"))
     n = shuffle_partitions(spark)
-    return both.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp").mapInPandas(_solve(radius), "a long, b long").distinct()
+    return both.repartition(n, *BUCKET_OF).sortWithinPartitions(*BUCKET_OF, "fp").mapInPandas(_solve(radius), "view long, a long, b long").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -215,20 +253,43 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("found", "label").alias("least"), F.coalesce("at", "node").alias("head"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, digest, fp, component_id, head (a fingerprint, one for each component) for each row of docs(doc_id, text, digest)."""
-    made = written(fingerprints(docs))
-    distinct = written(made.groupBy("fp").agg(F.min("doc_id").alias("label")))
-    found = links(distinct.select("fp"), radius)
-    parts = components(distinct.select(F.col("fp").alias("node"), "label"), found)
-    return made.join(parts.select(F.col("node").alias("fp"), F.col("least").alias("component_id"), "head"), "fp").select("doc_id", "digest", "fp", "component_id", "head")
-
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, views: int = 1) -> DataFrame:
+    """doc_id, digest, fp, component_id, head (one for each component) for each row of docs(doc_id, text, digest).
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    With several views documents are linked that are within the radius in any of them.
+    """
+    made = written(fingerprints(docs, views))
+    kinds = written(made.groupBy("fps").agg(F.min("doc_id").alias("label")))
+    node = F.col("fp") if views == 1 else F.xxhash64("view", "fp")
+    each = kinds.select("fps", "label", F.posexplode("fps").alias("view", "fp")).withColumn("view", F.col("view").cast("long")).withColumn("node", node)
+    nodes = written(each.groupBy("view", "fp", "node").agg(F.min("label").alias("label"), F.count("*").alias("n")))
+    found = links(nodes.select("view", "fp"), radius)
+    if views == 1:
+        edges = found.select("a", "b")
+    else:
+        found = written(found.select(F.xxhash64("view", "a").alias("a"), F.xxhash64("view", "b").alias("b")))
+        # Views of one text belong together; those that no other text has need no edge.
+        active = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).unionByName(nodes.where("n > 1").select("node"))
+        active = written(active.distinct())
+        held = each.join(active, "node", "left_semi").groupBy("fps").agg(F.array_sort(F.collect_set("node")).alias("own")).where("size(own) > 1")
+        edges = found.unionByName(held.select(F.col("own")[0].alias("a"), F.explode(F.slice("own", 2, views)).alias("b")).distinct())
+    parts = components(nodes.select("node", "label"), edges)
+    if views == 1:
+        told = parts.select(F.array("node").alias("fps"), F.col("least").alias("component_id"), "head")
+    else:
+        # A text's component is that of any of its active views; without one it is alone.
+        first = F.min(F.struct(F.col("act").isNull().alias("alone"), F.col("least").isNull().alias("no"), "least", "head")).alias("m")
+        known = parts.join(active.withColumn("act", F.lit(True)), "node", "left")
+        linked = each.select("fps", "node").join(known, "node").groupBy("fps").agg(first)
+        told = linked.select("fps", F.col("m.least").alias("component_id"), F.col("m.head").alias("head"))
+    return made.join(told, "fps").select("doc_id", "digest", F.col("fps")[0].alias("fp"), "component_id", "head")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, views: int = 1) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row of least doc_id (null last), then of least digest."""
     ship(docs.sparkSession)
     rows = docs.withColumn("_ld_digest", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    found = written(near_duplicates(rows.select("doc_id", "text", F.col("_ld_digest").alias("digest")), radius))
+    found = written(near_duplicates(rows.select("doc_id", "text", F.col("_ld_digest").alias("digest")), radius, views))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")).alias("keep")
     keep = found.groupBy("head").agg(first).select(F.col("keep.doc_id").alias("_ld_id"), F.col("keep.digest").alias("_ld_digest"))
     kept = rows.join(keep, (rows["_ld_digest"] == keep["_ld_digest"]) & rows["doc_id"].eqNullSafe(keep["_ld_id"]), "left_semi")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar import ship
-from lodestar.llm.common import lead_columns, shuffle_partitions, table, written
+from lodestar.llm.common import hold, lead_columns, shuffle_partitions, table, written
 
 LEAST = 400
 GRAM = 32
@@ -120,6 +120,7 @@ def chunks(texts: pa.Array, least: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
 def _anchor_rows(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("suffix", int)
         for batch in batches:
             ids = batch.column("tid")
             for data, ends, rows, _ in chunks(batch.column("body"), least):
@@ -295,19 +296,20 @@ def shared_windows(contexts: DataFrame, least: int, gram: int, key_contexts: int
     """
     n = shuffle_partitions(contexts.sparkSession)
     last = (F.col("off") + F.length("context") - least).alias("last")
-    out = contexts.where("n > 1").withColumn("off", F.lit(0).cast("long")).select("root", F.col("off").alias("first"), last)
+    out = written(contexts.where("n > 1").withColumn("off", F.lit(0).cast("long")).select("root", F.col("off").alias("first"), last))
     level = contexts.select(F.col("h").alias("key"), F.lit(0).alias("ra"), F.lit(least - gram).alias("rb"), F.when(F.col("n") == 1, F.col("root")).alias("root"), F.lit(0).cast("long").alias("off"), "a", "context")
     while True:
         hot = written(level.groupBy("key").agg(F.count("*").alias("cnt"), F.count("root").alias("open")).where(F.col("cnt") > key_contexts))
         rest = level.join(hot.select("key"), "key", "left_anti").select("key", "root", "off", "context")
-        out = out.unionByName(rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_solve(least), "root binary, first long, last long"))
+        # Each level's result is written: plans stay small however many levels there are.
+        out = out.unionByName(written(rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_solve(least), "root binary, first long, last long")))
         if hot.where("open > 0").isEmpty():
             return out
         parts = written(_halves(level.join(hot.where("open > 0").select("key"), "key", "left_semi"), least))
         # Equal parts under one key repeat each other: they are found, and one of them stands for all from here on.
         same = written(parts.groupBy("key", "twin").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("ra", "rb", "root", "off", "a", "context")), F.count("root").alias("open")))
         again = same.where("m > 1 and open > 0").select("key", "twin")
-        out = out.unionByName(parts.where("root is not null").join(again, ["key", "twin"], "left_semi").select("root", F.col("off").alias("first"), last))
+        out = out.unionByName(written(parts.where("root is not null").join(again, ["key", "twin"], "left_semi").select("root", F.col("off").alias("first"), last)))
         level = same.withColumn("root", F.when(F.col("m") == 1, F.col("root"))).select(*level.columns)
 
 
@@ -391,20 +393,34 @@ def with_body(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with text (and n_chars, if it is there) after removal; bytes of characters that are cut through go too."""
     bodies = with_body(lead_columns(docs, ["text"])).select("tid", "body")
-    copies = bodies.groupBy(F.col("tid").alias("_ld_tid")).agg(F.count("*").alias("_ld_copies")).where("_ld_copies > 1")
+    copies = bodies.where(F.length("body") >= least).groupBy("tid").agg(F.count("*").alias("copies")).where("copies > 1")
+    _, found = repeats(bodies, least)
+    spans = found.groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("_ld_spans"))
+    verdicts = written(copies.join(spans, "tid", "full_outer").select(F.col("tid").alias("_ld_tid"), F.col("copies").isNotNull().alias("_ld_whole"), "_ld_spans"))
+    body = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    told = docs.withColumn("_ld_tid", F.unhex(F.sha2(body, 256))).join(verdicts, "_ld_tid", "left").drop("_ld_tid")
+    names = docs.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([k.decode("utf-8", "ignore") for k in b.column("kept").to_pylist()], pa.string())], ["_ld_tid", "_ld_kept"])
-
-    kept = removed(bodies, least).select("tid", "kept").mapInArrow(run, "_ld_tid binary, _ld_kept string")
-    body = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    whole = F.col("_ld_copies").isNotNull() & (F.length(body) >= least)
-    text = F.when(whole, F.lit("")).otherwise(F.coalesce("_ld_kept", "text"))
-    made = docs.withColumn("_ld_tid", F.unhex(F.sha2(body, 256))).join(copies, "_ld_tid", "left").join(kept, "_ld_tid", "left").withColumn("text", text)
+            texts = []
+            for text, whole, spans in zip(b.column(at), b.column("_ld_whole"), b.column("_ld_spans"), strict=True):
+                if whole.as_py():
+                    texts.append("")
+                elif spans.is_valid:
+                    flat = spans.values
+                    texts.append(cut(text.as_py().encode(), flat.field("first").to_numpy(), flat.field("last").to_numpy(), least)[0].decode("utf-8", "ignore"))
+                else:
+                    texts.append(text.as_py())
+            columns = b.columns[: len(names)]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    made = told.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return made.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return made
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,17 +428,15 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = docs.select("tid", "body")
     copies = bodies.groupBy("tid").agg(F.count("*").alias("copies")).where("copies > 1")
     cuts = removed(bodies).select("tid", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # One row a text; written, so that the join has a shuffle on either side, which can be split where a text has many copies.
+    verdicts = written(copies.join(cuts, "tid", "full_outer"))
     rows = docs.select("doc_id", "tid", F.length("body").cast("long").alias("n_bytes"))
     whole = F.col("copies").isNotNull() & (F.col("n_bytes") >= LEAST)
     none = hashlib.sha256(b"").hexdigest()
-    return (
-        rows.join(copies, "tid", "left")
-        .join(cuts, "tid", "left")
-        .select(
-            "doc_id",
-            "n_bytes",
-            F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-            F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-            F.when(whole, F.lit(none)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("tid")))).alias("kept_sha256"),
-        )
+    return rows.join(verdicts, "tid", "left").select(
+        "doc_id",
+        "n_bytes",
+        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole, F.lit(none)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("tid")))).alias("kept_sha256"),
     )

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from lodestar.llm.common import lead_columns, table
+from lodestar.llm.common import hold, lead_columns, table
 
 CATEGORIES = ("low_quality", "toxic", "severe")
 TRAIN_ROWS = 10_000
@@ -227,6 +227,7 @@ def judge(docs: DataFrame, chain: Chain) -> DataFrame:
     schema = StructType([*kept, *(StructField(n, DoubleType()) for n in names), StructField("is_toxic", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", chain.found.clear)
         for b in batches:
             for k in range(0, len(b), 1000):
                 part = b.slice(k, 1000)

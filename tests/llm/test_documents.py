@@ -160,6 +160,39 @@ def test_op10(spark, odd_texts, tmp_path):
     assert r
 
 
+def test_views_join_what_any_view_joins(spark):
+    import pyspark.sql.functions as F
+
+    r = random.Random(9)
+    pool = ["".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(400)]
+    rows = [(i, " ".join(r.choice(pool) for _ in range(r.randint(0, 60)))) for i in range(150)]
+    rows += [(500 + i, " ".join([*w[:k], "changed", *w[k + 1 :]])) for i, (_, t) in enumerate(rows[:60]) for w in [t.split()] for k in [r.randint(0, len(w))]]
+    rows += [(900 + i, t) for i, (_, t) in enumerate(rows[:20])] + [(None, rows[3][1]), (None, None)]
+    views = 3
+    fps = [simhash.views_of(t, views) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j], strict=True)):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.monotonically_increasing_id())
+    got = simhash.near_duplicates(df, 3, views).collect()
+    heads = {}
+    for x in got:
+        heads.setdefault(x.head, []).append(str(x.doc_id))
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        want.setdefault(find(i), []).append(str(d))
+    assert sorted(map(sorted, heads.values())) == sorted(map(sorted, want.values()))
+    assert sorted(str(x.doc_id) for x in simhash.one_of_each(df.drop("digest"), 3, views).collect()) == sorted(min(v, key=lambda d: (d == "None", int(d) if d != "None" else 0)) for v in want.values())
+
+
 def test_dense_buckets(spark):
     r = np.random.default_rng(2)
     low = np.unique(r.integers(0, 2**14, 3000, dtype=np.uint64))
