@@ -8,13 +8,16 @@ at most RADIUS bits some nonzero v is orthogonal to all their vectors, so its ma
 them out and the pair has equal masked values in the table of v: no pair is missed, by construction.
 
 Equal fingerprints are one representative before anything else, so copies cost nothing.
-Within a table's bucket, pairs of distinct fingerprints are compared in blocks and only a
-spanning forest of the links leaves the task. A bucket of more than BUCKET fingerprints
+Within a table's bucket, pairs of distinct fingerprints are compared and only a spanning
+forest of the links leaves the task, without those pairs that an earlier table connects. A bucket of more than BUCKET fingerprints
 (known from a count) is dealt anew by the covering masks of its free bits (half the
 fingerprint), which makes buckets whose members agree in at least 48 bits; those hold at
 most 2^16 fingerprints, and the largest of them are solved by listing each member's
 neighbours within the radius. No bucket is capped.
 
+With several views (views_of) a text has further fingerprints, of its distinct long words under
+different hashes, and is linked to what is within the radius in any view. The query uses one.
+
 Components: edges and labels stay in tables; each round every node takes the smallest
 label around it and then its label's label, until nothing changes.
 
@@ -27,6 +30,7 @@ one; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -189,7 +193,7 @@ def _links(f: pd.DataFrame, radius: int) -> pd.DataFrame:
     bucket = np.cumsum(start)
     first = np.flatnonzero(start)
     sizes = np.diff(np.append(first, len(f)))
-    a, b, of = [], [], []
+    a, b, of, by = [], [], [], []
     top = int(sizes.max()) if len(sizes) else 0
     for d in range(1, min(top, 9)):  # neighbours at each distance inside small buckets
         i = np.arange(len(f) - d)
@@ -198,6 +202,7 @@ def _links(f: pd.DataFrame, radius: int) -> pd.DataFrame:
         a.append(fps[i])
         b.append(fps[i + d])
         of.append(view[i])
+        by.append(mask[i])
     for k in np.flatnonzero(sizes > 9):
         own = fps[first[k] : first[k] + sizes[k]]
         free = ~int(mask[first[k]]) & (1 << 64) - 1
@@ -205,21 +210,48 @@ def _links(f: pd.DataFrame, radius: int) -> pd.DataFrame:
         a.append(found[0])
         b.append(found[1])
         of.append(np.full(len(found[0]), view[first[k]]))
-    a, b, of = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b, of))
+        by.append(np.full(len(found[0]), mask[first[k]]))
+    none = np.zeros(0, np.uint64)
+    a, b, of, by = (np.concatenate([none, *x]) for x in (a, b, of, by))
+    mine = first_here(a ^ b, by, radius)
+    a, b, of = (x[mine].view(np.int64) for x in (a, b, of))
     return pd.DataFrame({"view": of, "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+@functools.lru_cache(maxsize=2)
+def _tables(radius: int) -> list[tuple[int, list[int]]]:
+    """Each mask, and the masks by which its large buckets are dealt anew."""
+    masks = covering_masks(list(range(64)), radius)
+    return [(m, [m | x for x in covering_masks([b for b in range(64) if not m >> b & 1], radius)]) for m in masks]
+
+
+def first_here(difference: np.ndarray, mask: np.ndarray, radius: int) -> np.ndarray:
+    """Whether a link, found under mask, is in no earlier table: an earlier one connects the pair, so it is told only once."""
+    out = np.ones(len(difference), bool)
+    seen = np.zeros(len(difference), bool)
+    for m, finer in _tables(radius):
+        here = ~seen & (difference & np.uint64(m) == 0)
+        seen |= here
+        inside = mask & np.uint64(m) == np.uint64(m)
+        out &= ~here | inside
+        deeper = here & inside & (mask != np.uint64(m))
+        for x in finer if deeper.any() else ():
+            hit = deeper & (difference & np.uint64(x) == 0)
+            out[hit & (mask != np.uint64(x))] = False
+            deeper &= ~hit
+    return out
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """view, a, b: links a < b that connect what all links of distinct(view, fp) connect in each view. distinct: a written table."""
     spark = distinct.sparkSession
-    masks = covering_masks(list(range(64)), radius)
-    dealt = distinct.select("view", "fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    tables = _tables(radius)
+    dealt = distinct.select("view", "fp", F.explode(F.array(*(F.lit(_signed(m)) for m, _ in tables))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     sizes = dealt.groupBy(*BUCKET_OF).agg(F.count("*").alias("n")).where("n > 1")
     shared = written(dealt.join(sizes, BUCKET_OF))
     finer = F.lit(None)
-    for m in masks:
-        free = [b for b in range(64) if not m >> b & 1]
-        finer = F.when(F.col("mask") == _signed(m), F.array(*(F.lit(_signed(m | x)) for x in covering_masks(free, radius)))).otherwise(finer)
+    for m, deeper in tables:
+        finer = F.when(F.col("mask") == _signed(m), F.array(*(F.lit(_signed(x)) for x in deeper))).otherwise(finer)
     small = shared.where(F.col("n") <= bucket).select(*BUCKET_OF, "fp")
     large = shared.where(F.col("n") > bucket).select("view", "fp", F.explode(finer).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     both = small.unionByName(large.select(*BUCKET_OF, "fp"))
@@ -241,7 +273,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     state = written(linked.select("node", F.struct("label", "node").alias("low")))
     while True:
         around = both.join(state.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("low").alias("near")).withColumnRenamed("a", "node")
-        hooked = state.join(around, "node", "left").select("node", "low", F.least("low", "near").alias("new"))
+        # Written, so that the join below has a shuffle on either side, which can be split where many nodes have one label.
+        hooked = written(state.join(around, "node", "left").select("node", "low", F.least("low", "near").alias("new")))
         jump = hooked.select(F.col("node").alias("at"), F.col("new").alias("beyond"))
         after = hooked.join(jump, F.col("new.node") == F.col("at"), "left").select("node", "low", F.least("new", "beyond").alias("new"))
         after = written(after)
