@@ -131,9 +131,12 @@ def prefix_tree(made: DataFrame) -> DataFrame:
     nodes = made.groupBy("node").agg(*(F.first(c).alias(c) for c in fields))
     n = shuffle_partitions(made.sparkSession)
     nodes = written(nodes)
-    branches = nodes.where("parent is not null").groupBy("parent").agg((F.count("*") > 1).alias("branch")).where("branch")
-    steps = made.select("conv_id", "depth", "node", "parent").join(branches, "parent", "left")
-    nodes = written(nodes.join(chains(steps.select("conv_id", "depth", "node", F.coalesce("branch", F.lit(False)).alias("branch"))), "node"))
+    # Written, so that the join below has a shuffle on either side, which can be split where a parent has many children.
+    branches = written(nodes.where("parent is not null").groupBy("parent").agg(F.count("*").alias("kids")).where("kids > 1"))
+    told = made.select("conv_id", "depth", "node", "parent")
+    below = told.where("parent is not null").join(branches, "parent", "left").select("conv_id", "depth", "node", F.col("kids").isNotNull().alias("branch"))
+    roots = told.where("parent is null").select("conv_id", "depth", "node", F.lit(True).alias("branch"))
+    nodes = written(nodes.join(chains(below.unionByName(roots)), "node"))
     sizes = nodes.groupBy("head").agg(F.sum("chars").alias("length"), F.min("position").alias("from"), F.first("path", True).alias("path"))
     ordered = written(sizes.repartitionByRange(n, "path").withColumn("part", F.spark_partition_id()))
     base, before = {}, 0
