@@ -3,7 +3,7 @@
 A url's host and path are judged by the longest rule that fits: a rule fits its host and
 all subdomains, if the path starts with the rule's. Else the method decides: runs of
 letters in host and path are split into words by unigram Viterbi, and a multinomial naive
-Bayes scores the words. Unigram counts are those of all page titles (the WORDS most
+Bayes scores the words. Unigram counts are those of all page titles (the at most WORDS most
 frequent; a bound, stated here) and of the seed names; naive Bayes is fitted on the seed
 names, split the same way. A word that no class has seen says nothing; without known words
 a url is allowed.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import lead_columns, table
+from lodestar.llm.common import lead_columns, table, written
 
 #: verdict, host, path; fixed by the contract
 RULES = (
@@ -129,10 +129,21 @@ class UrlModel:
 
 
 def title_words(pages: DataFrame, most: int = WORDS) -> dict[str, int]:
-    """The words of all titles with their counts, the most frequent of them."""
+    """The words of all titles with their counts: all down to the least count at which they are at most `most`.
+
+    That count comes from how many words have each count, so that no more than the result
+    reaches the driver, from however many tasks.
+    """
     title = F.regexp_extract(F.col("html"), "(?is)<title[^>]*>([^<]*)<", 1)
     words = pages.select(F.explode(F.split(F.lower(title), "[^a-z]+")).alias("w")).where("length(w) between 2 and 24")
-    return {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()}
+    counted = written(words.groupBy("w").agg(F.count("*").alias("n")))
+    least, total = 0, 0
+    for r in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():  # distinct counts are few
+        total += r["words"]
+        if total > most:
+            break
+        least = r["n"]
+    return {r["w"]: r["n"] for r in counted.where(F.col("n") >= least).collect()} if least else {}
 
 
 def judge_urls(pages: DataFrame, counts: dict[str, int], rules=RULES) -> DataFrame:
