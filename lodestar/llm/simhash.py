@@ -18,8 +18,7 @@ neighbours within the radius. No bucket is capped.
 With several views (views_of) a text has further fingerprints, of its distinct long words under
 different hashes, and is linked to what is within the radius in any view. The query uses one.
 
-Components: edges and labels stay in tables; each round every node takes the smallest
-label around it and then its label's label, until nothing changes.
+Components: edges and maps stay in tables; each round contracts them by a share.
 
 Defined cases: a null or empty text (no words) has fingerprint zero and is linked like any
 other; with fewer than three words the whole sequence is the one shingle; a long text is
@@ -260,30 +259,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, least, head: the smallest label of the nodes that edges(a, b) connect, and its node; nodes(node, label) as given.
+    """node, least, head: the smallest label of the nodes that edges(a, b) connect, and one node for each component; nodes(node, label) as given.
 
-    Rounds of hooking (the smallest label around) and jumping (the label of the node that
-    carries this label), written out each round, so that labels settle in few rounds.
+    Contraction: each round every node goes to the first of itself and its neighbours in a
+    random order of the round, and on to where that one goes; edges go along and those within a
+    node end. So nodes and edges shrink by a share each round, chains and stars alike. The
+    rounds' maps are then followed back from the last.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    if both.isEmpty():
+    left = written(edges.select("a", "b").where("a <> b"))
+    maps: list[DataFrame] = []
+    while not left.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("k"), F.col(c).alias("n"))  # noqa: B023,E731
+        sides = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = sides.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("m"))
+        step = written(near.select("node", F.least(F.col("m"), order("node"))["n"].alias("to")))
+        # Written, so that the joins have a shuffle on either side, which can be split where many nodes go to one.
+        told = step.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+        maps.append(written(step.join(told, "to").select("node", F.col("beyond").alias("to"))))
+        here = lambda c: maps[-1].select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))
+        half = written(left.join(here("a"), "a").select("b", "to_a"))
+        moved = half.join(here("b"), "b").where("to_a <> to_b")
+        left = written(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+    if not maps:
         return nodes.select("node", F.col("label").alias("least"), F.col("node").alias("head"))
-    linked = nodes.join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    # A root is a node; comp is the node whose label is the least met so far.
-    state = written(linked.select("node", F.struct("label", "node").alias("low")))
-    while True:
-        around = both.join(state.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("low").alias("near")).withColumnRenamed("a", "node")
-        # Written, so that the join below has a shuffle on either side, which can be split where many nodes have one label.
-        hooked = written(state.join(around, "node", "left").select("node", "low", F.least("low", "near").alias("new")))
-        jump = hooked.select(F.col("node").alias("at"), F.col("new").alias("beyond"))
-        after = hooked.join(jump, F.col("new.node") == F.col("at"), "left").select("node", "low", F.least("new", "beyond").alias("new"))
-        after = written(after)
-        changed = after.where(F.col("low") != F.col("new")).limit(1).count()
-        state = after.select("node", F.col("new").alias("low"))
-        if not changed:
-            break
-    found = state.select("node", F.col("low.label").alias("found"), F.col("low.node").alias("at"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("found", "label").alias("least"), F.coalesce("at", "node").alias("head"))
+    final = maps.pop()
+    while maps:
+        later = final.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        final = written(maps.pop().join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to")))
+    headed = written(nodes.join(final, "node", "left").select("node", "label", F.coalesce("to", "node").alias("head")))
+    least = written(headed.groupBy("head").agg(F.min("label").alias("least")))
+    return headed.select("node", "head").join(least, "head").select("node", "least", "head")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, views: int = 1) -> DataFrame:
