@@ -45,6 +45,7 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    jvm.System.gc()  # Spark removes shuffle files that nothing refers to any more when the driver collects its garbage
     return spark.read.schema(df.schema).parquet(path)
 
 
