@@ -15,7 +15,7 @@ fingerprint), which makes buckets whose members agree in at least 48 bits; those
 most 2^16 fingerprints, and the largest of them are solved by listing each member's
 neighbours within the radius. No bucket is capped.
 
-With several views (views_of) a text has further fingerprints, of its distinct long words under
+With several views (views_of) a text has further fingerprints, of its distinct words under
 different hashes, and is linked to what is within the radius in any view. The query uses one.
 
 Components: edges and maps stay in tables; each round contracts them by a share.
@@ -47,6 +47,7 @@ SEED = 42
 RADIUS = 3
 LONG_WORD = re.compile(rb"[a-z\x80-\xff]{7,}")
 FEW_WORDS = 16
+LONG_VIEWS = 5  # further views of long words; those after them are of all words
 BUCKET = 256  # fingerprints that one bucket holds before it is dealt anew
 
 
@@ -74,25 +75,33 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def views_of(text: str | None, views: int) -> list[int]:
-    """The fingerprint, and views - 1 more: majorities of different hashes of the text's distinct long words.
+    """The fingerprint, and views - 1 more: majorities of different hashes of the text's distinct words.
 
-    A changed word changes three shingles but one word, and common short words, which all
-    texts share, do not count; so texts that are alike but not equal come closer. A text with
-    few long words has its fingerprint in every view.
+    A changed word changes three shingles but one word, so texts that are alike but not equal
+    come closer. LONG_VIEWS views are of long words, as common short words, which all texts share,
+    say little; those after them are of all words, for texts with few long ones. Texts with
+    FEW_WORDS to twice as many long words have both, so a pair across either bound shares a kind.
+    A view that a text has not is its fingerprint.
     """
     from xxhash import xxh64_intdigest as h
 
-    own = fingerprint(text)
-    words = set(LONG_WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())) if views > 1 else set()
-    if len(words) < FEW_WORDS:
-        return [own] * views
-    base = np.array([h(w, SEED) for w in words], "<u8")
-    out = [own]
-    for k in range(1, views):
-        z = base + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(z ^ (z >> np.uint64(31))))
+    out = [fingerprint(text)] * views
+    if views == 1:
+        return out
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    long_words = set(LONG_WORD.findall(raw))
+    kinds = []
+    if len(long_words) >= FEW_WORDS:
+        kinds.append((long_words, range(1, min(views, LONG_VIEWS + 1))))
+    if len(long_words) < 2 * FEW_WORDS:
+        kinds.append((set(raw.split()), range(LONG_VIEWS + 1, views)))
+    for words, places in kinds:
+        base = np.array([h(w, SEED) for w in words], "<u8")
+        for k in places if len(base) else ():
+            z = base + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out[k] = majority(z ^ (z >> np.uint64(31)))
     return out
 
 
@@ -299,7 +308,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, views: int = 1) -> Da
     made = written(fingerprints(docs, views))
     kinds = written(made.groupBy("fps").agg(F.min("doc_id").alias("label")))
     node = F.col("fp") if views == 1 else F.xxhash64("view", "fp")
-    each = kinds.select("fps", "label", F.posexplode("fps").alias("view", "fp")).withColumn("view", F.col("view").cast("long")).withColumn("node", node)
+    each = kinds.select("fps", "label", F.col("fps")[0].alias("own"), F.posexplode("fps").alias("view", "fp")).where("view = 0 or fp <> own").drop("own").withColumn("view", F.col("view").cast("long")).withColumn("node", node)
     nodes = written(each.groupBy("view", "fp", "node").agg(F.min("label").alias("label"), F.count("*").alias("n")))
     found = links(nodes.select("view", "fp"), radius)
     if views == 1:

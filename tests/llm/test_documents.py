@@ -275,3 +275,20 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
+
+
+def test_views_of_texts_with_few_long_words():
+    r = random.Random(5)
+    pool = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(3000)]
+    found = {6: 0, 16: 0}
+    for _ in range(300):
+        w = [r.choice(pool) for _ in range(60)]
+        x = [*w[:30], "zz", *w[31:]]  # shingles of five words: 51 of 61 are shared
+        for views in found:
+            found[views] += any((a ^ b).bit_count() <= 3 for a, b in zip(simhash.views_of(" ".join(w), views), simhash.views_of(" ".join(x), views), strict=True))
+    assert found[6] < 150 and found[16] > 240
+    # A pair across a bound of the number of long words has views of one kind in common.
+    for n in (simhash.FEW_WORDS, 2 * simhash.FEW_WORDS):
+        w = ["longword" + "abcdefgh"[k % 8] + "ijklmnop"[k // 8] for k in range(n)] + [r.choice(pool) for _ in range(100)]
+        a, b = (simhash.views_of(" ".join(t), 16) for t in (w, w[1:]))
+        assert sum(x != a[0] and y != b[0] for x, y in zip(a[1:], b[1:], strict=True)) >= 5
