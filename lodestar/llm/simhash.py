@@ -18,6 +18,10 @@ neighbours within the radius. No bucket is capped.
 With several views (views_of) a text has further fingerprints, of its distinct words under
 different hashes, and is linked to what is within the radius in any view. The query uses one.
 
+With a similarity (one_of_each) links are only candidates: inside each component every pair of
+distinct texts, in pairs of blocks of bounded size, is judged by the exact Jaccard similarity of
+its shingle sets, and components are made anew of the pairs that reach it.
+
 Components: edges and maps stay in tables; each round contracts them by a share.
 
 Defined cases: a null or empty text (no words) has fingerprint zero and is linked like any
@@ -48,6 +52,8 @@ RADIUS = 3
 LONG_WORD = re.compile(rb"[a-z\x80-\xff]{7,}")
 FEW_WORDS = 16
 LONG_VIEWS = 5  # further views of long words; those after them are of all words
+SIMILAR_SHINGLE = 5  # words of a shingle by which similarity is judged
+BLOCK = 256  # texts of a component that are compared with as many others in one task
 BUCKET = 256  # fingerprints that one bucket holds before it is dealt anew
 
 
@@ -332,16 +338,113 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, views: int = 1) -> Da
     return made.join(told, "fps").select("doc_id", "digest", F.col("fps")[0].alias("fp"), "component_id", "head")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, views: int = 1) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row of least doc_id (null last), then of least digest."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of SIMILAR_SHINGLE words; of fewer words the whole is one; none of no words."""
+    from xxhash import xxh64_intdigest as h
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    starts = range(max(1, len(words) - SIMILAR_SHINGLE + 1)) if words else ()
+    return np.unique(np.array([h(b" ".join(words[i : i + SIMILAR_SHINGLE]), SEED) for i in starts], "<u8"))
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets whose Jaccard similarity is reached; empty sets are equal."""
+    size = np.array([len(x) for x in sets], np.int64)
+    of = np.repeat(np.arange(len(sets)), size)
+    _, token, times = np.unique(np.concatenate([np.zeros(0, "<u8"), *sets]), return_inverse=True, return_counts=True)
+    common = times[token] > 1
+    of, token = of[common], np.unique(token[common], return_inverse=True)[1]
+    by = np.argsort(token, kind="stable")
+    of, token = of[by], token[by]
+    both = np.zeros((len(sets), len(sets)))
+    last = int(token[-1]) + 1 if len(token) else 0
+    for t in range(0, last, 4096):
+        a, b = np.searchsorted(token, [t, t + 4096])
+        has = np.zeros((len(sets), min(4096, last - t)), np.float32)
+        has[of[a:b], token[a:b] - t] = 1
+        both += has @ has.T
+    near = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+    fresh, out = np.ones(len(sets), bool), []
+    for i in range(len(sets)):
+        reached = [i] if fresh[i] else []
+        fresh[i] = False
+        while reached:
+            x = reached.pop()
+            hit = np.flatnonzero(near[x] & fresh)
+            fresh[hit] = False
+            out += [(x, y) for y in hit.tolist()]
+            reached += hit.tolist()
+    return out
+
+
+def _compare(similarity: float):
+    def solved(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        pairs = alike([np.frombuffer(x, "<u8") for _, x in held], similarity)
+        return pa.RecordBatch.from_pydict({k: pa.array([held[p[i]][0] for p in pairs], pa.int64()) for i, k in enumerate("ab")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a partition sorted by (head, i, j): one pair of blocks after another."""
+        held: list[tuple[int, bytes]] = []
+        at = None
+        for b in batches:
+            for *key, node, shingles in zip(*(b.column(c).to_pylist() for c in ("head", "i", "j", "node", "shingles")), strict=True):
+                if key != at and held:
+                    yield solved(held)
+                    held = []
+                at = key
+                held.append((node, shingles))
+        if held:
+            yield solved(held)
+
+    return run
+
+
+def confirmed(rows: DataFrame, found: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """doc_id, digest, head as found, but components are of texts linked by a Jaccard similarity that is reached.
+
+    rows: doc_id, text and _ld_digest. Every pair of a component's distinct texts is judged, not
+    only the links that span it.
+    """
+    several = written(found.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"))
+    member = found.join(several, "head", "left_semi").select(F.col("doc_id").alias("id"), "digest", "head").distinct()
+    text = F.coalesce("text", F.lit(""))
+    # Texts told apart by a 128-bit digest; a node's name is of 64 bits.
+    node = F.xxhash64("head", F.md5(text), text)
+    told = written(rows.join(member, (rows["_ld_digest"] == member["digest"]) & rows["doc_id"].eqNullSafe(member["id"])).select("doc_id", "digest", "head", text.alias("text")).withColumn("node", node))
+    kinds = written(told.groupBy("node").agg(F.first("head").alias("head"), F.first("text").alias("text")))
+    sizes = written(kinds.groupBy("head").agg(F.count("*").alias("m")).where("m > 1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash", int)
+        for b in batches:
+            sets = pa.array([shingle_set(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("head"), b.column("node"), b.column("m"), sets], ["head", "node", "m", "shingles"])
+
+    sets = kinds.join(sizes, "head").select("head", "node", "m", "text").mapInArrow(run, "head long, node long, m long, shingles binary")
+    blocks = F.ceil(F.col("m") / block)
+    dealt = sets.withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(node, 1), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = dealt.select("head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    pairs = dealt.repartition(shuffle_partitions(found.sparkSession), "head", "i", "j").sortWithinPartitions("head", "i", "j").mapInArrow(_compare(similarity), "a long, b long")
+    parts = written(components(kinds.select("node", F.col("node").alias("label")), written(pairs)))
+    alone = found.join(several, "head", "left_anti").select("doc_id", "digest", "head")
+    return alone.unionByName(told.select("doc_id", "digest", "node").join(parts.select("node", "head"), "node").select("doc_id", "digest", "head"))
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, views: int = 1, similarity: float | None = None) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row of least doc_id (null last), then of least digest.
+
+    With a similarity, links are candidates and only those stand whose shingle sets reach it.
+    """
     ship(docs.sparkSession)
     rows = docs.withColumn("_ld_digest", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
     found = written(near_duplicates(rows.select("doc_id", "text", F.col("_ld_digest").alias("digest")), radius, views))
+    if similarity is not None:
+        found = written(confirmed(rows.select("doc_id", "text", "_ld_digest"), found, similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")).alias("keep")
     keep = found.groupBy("head").agg(first).select(F.col("keep.doc_id").alias("_ld_id"), F.col("keep.digest").alias("_ld_digest"))
     kept = rows.join(keep, (rows["_ld_digest"] == keep["_ld_digest"]) & rows["doc_id"].eqNullSafe(keep["_ld_id"]), "left_semi")
-    alike = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    if not alike.isEmpty():  # rows that repeat in all columns
+    again = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():  # rows that repeat in all columns
         kept = kept.dropDuplicates(["doc_id", "_ld_digest"])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -292,3 +292,40 @@ def test_views_of_texts_with_few_long_words():
         w = ["longword" + "abcdefgh"[k % 8] + "ijklmnop"[k // 8] for k in range(n)] + [r.choice(pool) for _ in range(100)]
         a, b = (simhash.views_of(" ".join(t), 16) for t in (w, w[1:]))
         assert sum(x != a[0] and y != b[0] for x, y in zip(a[1:], b[1:], strict=True)) >= 5
+
+
+def test_one_of_each_keeps_what_is_not_similar(spark, monkeypatch):
+    r = random.Random(11)
+    pool = ["".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(300)]
+    rows = []
+    for k in range(12):
+        w = [r.choice(pool) for _ in range(80)]
+        rows.append((100 * k, " ".join(w)))
+        for n in range(1, 9):  # up to eight words changed: similarity 0.9 down to about 0.35
+            x = list(w)
+            for i in r.sample(range(80), n):
+                x[i] = r.choice(pool)
+            rows.append((100 * k + n, " ".join(x)))
+        w.sort()
+        rows.append((100 * k + 50, " ".join(w)))  # the same words in another order
+    rows += [(5000, rows[0][1]), (5000, rows[0][1]), (None, rows[0][1]), (5001, None), (5002, ""), (5003, "one two"), (5004, "One  two")]
+    df = spark.createDataFrame([(*x, "l") for x in rows], "doc_id long, text string, lang string")
+    sets = [set(simhash.shingle_set(t).tolist()) for _, t in rows]
+    want = {}
+    root = list(range(len(rows)))
+    linked = simhash.near_duplicates(df.selectExpr("doc_id", "text", "xxhash64(text) as digest"), 3, 16).collect()
+    head = {x.doc_id: x.head for x in linked}
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if head[rows[i][0]] == head[rows[j][0]] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+    for (i, _), k in zip(rows, root, strict=True):
+        want[k] = min((x for x in (want.get(k), i) if x is not None), default=None)
+    for block in (256, 2):
+        monkeypatch.setattr(simhash.confirmed, "__defaults__", (block,))
+        got = simhash.one_of_each(df, 3, 16, 0.8)
+        assert got.columns == df.columns
+        assert sorted(str(x.doc_id) for x in got.collect()) == sorted(map(str, want.values()))
+    assert {100 * k + 50 for k in range(12)} <= set(want.values())
+    assert len(want) > len({x.head for x in linked})
+    assert simhash.one_of_each(df.limit(0), 3, 16, 0.8).count() == 0
