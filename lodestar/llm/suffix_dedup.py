@@ -20,6 +20,9 @@ same document or another; strings are judged on the input. Texts are UTF-8 bytes
    window is dropped.
 5. Runs of repeated windows go back to the texts they came from, where their union is cut.
 
+With a length in words (without_repeats) a text is the codes of its words, of CODE bytes each, in
+place of its own bytes; windows then begin at words, and white space does not count.
+
 Texts are shuffled once, and the texts that hold shared anchors once more. Python sees
 Arrow buffers in bounded pieces, so a text may have any length.
 
@@ -31,6 +34,7 @@ do not matter; an empty table gives an empty one; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +51,8 @@ GRAM = 32
 KEY_CONTEXTS = 128
 CHUNK = 1 << 20  # bytes of contexts that one suffix array sorts
 PIECE = 1 << 16  # bytes that are hashed at a time
+CODE = 5  # bytes that stand for a word; a false repeat needs two words of one code in otherwise equal runs
+_WORD = re.compile(rb"\S+")
 _PLACE = np.uint64((1 << 24) - 1)
 _TABLE = np.random.default_rng(6).integers(0, 1 << 64, 256, dtype=np.uint64)
 
@@ -390,9 +396,46 @@ def with_body(docs: DataFrame) -> DataFrame:
     return docs.withColumn("body", body).withColumn("tid", F.unhex(F.sha2(body, 256)))
 
 
-def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with text (and n_chars, if it is there) after removal; bytes of characters that are cut through go too."""
+class _Codes(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        from xxhash import xxh64_digest
+
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = code = xxh64_digest(word, 6)[:CODE]
+        return code
+
+
+def coded(bodies: DataFrame) -> DataFrame:
+    """bodies(tid, body) with the codes of body's words in place of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([b"".join(map(codes.__getitem__, x.split())) for x in b.column("body").to_pylist()], pa.binary())], ["tid", "body"])
+
+    return bodies.select("tid", "body").mapInArrow(run, "tid binary, body binary")
+
+
+def cut_words(raw: bytes, firsts: np.ndarray, lasts: np.ndarray, words: int) -> bytes:
+    """What is left of raw without the runs of words that the windows of codes from firsts to lasts cover."""
+    at = np.array([m.span() for m in _WORD.finditer(raw)], np.int64)
+    first, last = -(-firsts // CODE), lasts // CODE  # windows that begin at a word
+    some = first <= last
+    change = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(change, at[first[some], 0], 1)
+    np.add.at(change, at[last[some] + words - 1, 1], -1)
+    return np.frombuffer(raw, np.uint8)[np.cumsum(change[:-1]) == 0].tobytes()
+
+
+def without_repeats(docs: DataFrame, least: int = LEAST, words: int | None = None) -> DataFrame:
+    """docs with text (and n_chars, if it is there) after removal; bytes of characters that are cut through go too.
+
+    With words, runs of so many words that occur again go, however many bytes they have.
+    """
     bodies = with_body(lead_columns(docs, ["text"])).select("tid", "body")
+    if words is not None:
+        bodies, least = coded(bodies), words * CODE
     copies = bodies.where(F.length("body") >= least).groupBy("tid").agg(F.count("*").alias("copies")).where("copies > 1")
     _, found = repeats(bodies, least)
     spans = found.groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("_ld_spans"))
@@ -410,7 +453,8 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     texts.append("")
                 elif spans.is_valid:
                     flat = spans.values
-                    texts.append(cut(text.as_py().encode(), flat.field("first").to_numpy(), flat.field("last").to_numpy(), least)[0].decode("utf-8", "ignore"))
+                    raw, first, last = text.as_py().encode(), flat.field("first").to_numpy(), flat.field("last").to_numpy()
+                    texts.append((cut_words(raw, first, last, words) if words is not None else cut(raw, first, last, least)[0]).decode("utf-8", "ignore"))
                 else:
                     texts.append(text.as_py())
             columns = b.columns[: len(names)]

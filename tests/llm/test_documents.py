@@ -329,3 +329,25 @@ def test_one_of_each_keeps_what_is_not_similar(spark, monkeypatch):
     assert {100 * k + 50 for k in range(12)} <= set(want.values())
     assert len(want) > len({x.head for x in linked})
     assert simhash.one_of_each(df.limit(0), 3, 16, 0.8).count() == 0
+
+
+def test_passages_are_judged_in_words(spark):
+    r = random.Random(12)
+
+    def say(n, longest=3):
+        return ["".join(r.choice("abcdefghijklé") for _ in range(r.randint(1, longest))) for _ in range(n)]
+
+    passage, short, wide = say(51), say(50, 12), say(400)  # 51 words of about 150 bytes; 50 words of about 380
+    texts = [[*say(30, 9), *passage, *say(20, 9)], [*say(5, 9), *passage, *say(70, 9)], [*say(9, 9), *short, *say(9, 9)], [*say(3, 9), *short, *say(4, 9)]]
+    texts += [wide[:250], [*say(3, 9), *wide[120:]], [*say(8, 9), *passage], wide[:60], wide[:60], say(50), ["re"] * 90, ["re"] * 50]
+    rows = [(i, "  ".join(t) + "\n" if i % 2 else " ".join(t)) for i, t in enumerate(texts)] + [(90, None), (91, ""), (92, " ")]
+    seen = collections.Counter(tuple(t[i : i + 51]) for t in texts for i in range(len(t) - 50))
+    df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, n_chars long")
+    got = {x.doc_id: x for x in suffix_dedup.without_repeats(df, words=51).collect()}
+    for i, t in enumerate(texts):
+        gone = {j for k in range(len(t) - 50) if seen[tuple(t[k : k + 51])] > 1 for j in range(k, k + 51)}
+        assert got[i].text.split() == [w for j, w in enumerate(t) if j not in gone]
+        assert got[i].n_chars == len(got[i].text)
+    assert got[0].text.split() == texts[0][:30] + texts[0][81:] and got[2].text == rows[2][1]
+    assert (got[90].text, got[91].text, got[92].text) == (None, "", " ")
+    assert suffix_dedup.without_repeats(df.limit(0), words=51).count() == 0
