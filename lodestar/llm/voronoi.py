@@ -6,7 +6,7 @@ each query a 0: the squared distance is then |q|^2 + M - 2 q.x.
 
 Pivots (a bounded sample) cut the space into cells; data and queries belong to the cell
 of their nearest pivot. Summaries (per cell the count, the range of distances to its pivot
-and the k + 1 smallest of them; per group of queries the largest distance) give each group
+and the k + 1 smallest of them over distinct vec_ids; per group of queries the largest distance) give each group
 a bound on its k-th distance, and by the triangle inequality the cells that can hold a
 neighbour; each query then narrows its group's list by its own distances. Queries, the
 smaller side, are copied to those cells only; cells are cut into blocks of bounded size, so
@@ -123,31 +123,38 @@ def nearest_join(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = S
     placed = written(rows.mapInArrow(place, "vec_id long, cell int, d double, grp int, to double, payload binary"))
 
     def summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near: dict[int, list[float]] = {}
+        near: dict[int, pd.Series] = {}
         count: dict[int, int] = {}
         far: dict[int, float] = {}
         reach: dict[int, float] = {}
         for f in frames:
-            for c, d in f.groupby("cell")["d"]:
-                near[c] = sorted([*near.get(c, []), *d.nsmallest(k + 1)])[: k + 1]
+            for c, rows in f.groupby("cell"):
+                d = rows["d"]
+                low = d.groupby(rows["vec_id"]).min().nsmallest(k + 1)
+                near[c] = (pd.concat([near[c], low]).groupby(level=0).min() if c in near else low).nsmallest(k + 1)
                 count[c] = count.get(c, 0) + len(d)
                 far[c] = max(far.get(c, 0.0), d.max())
             for g, t in f[f["grp"] >= 0].groupby("grp")["to"]:
                 reach[g] = max(reach.get(g, 0.0), t.max())
-        yield pd.DataFrame([(int(c), count.get(c, 0), far.get(c, 0.0), near.get(c, []), reach.get(c, -1.0)) for c in {*count, *reach}], columns=["cell", "n", "far", "near", "reach"])
+        yield pd.DataFrame([(int(c), count.get(c, 0), far.get(c, 0.0), [{"d": float(d), "id": int(i)} for i, d in near[c].items()] if c in near else [], reach.get(c, -1.0)) for c in {*count, *reach}], columns=["cell", "n", "far", "near", "reach"])
 
-    parts = placed.select("cell", "d", "grp", "to").mapInPandas(summarise, "cell int, n long, far double, near array<double>, reach double")
-    summary = {r["cell"]: r for r in parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"), F.max("reach").alias("reach")).collect()}
+    parts = written(placed.select("vec_id", "cell", "d", "grp", "to").mapInPandas(summarise, "cell int, n long, far double, near array<struct<d: double, id: long>>, reach double"))
+    summary = {r["cell"]: r for r in parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.max("reach").alias("reach")).collect()}
+    low = parts.select("cell", F.inline("near")).groupBy("cell", "id").agg(F.min("d").alias("d"))
+    nearest = {r["cell"]: r["near"] for r in low.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, k + 1).alias("near")).collect()}
     cells = [c for c in range(n_cells) if c in summary and summary[c]["n"]]
     blocks = {c: int(-(-summary[c]["n"] // block)) for c in cells}
     between = np.sqrt(np.maximum(0, ((space.pivots[:, None, :] - space.pivots[None, :, :]) ** 2).sum(2)))  # from data pivot to data pivot
     # A query's pivot distance is to the lifted pivot, so the triangle inequality holds between them as they are.
     slack = 1e-9 * (float(most) ** 0.5 + 1) + 1e-6
-    near_of = {c: np.array(summary[c]["near"]) for c in cells}
+    near_of = {c: np.array([x["d"] for x in nearest[c]]) for c in cells}
+    near_ids = np.array([x["id"] for c in cells for x in nearest[c]], np.int64)
 
     def kth(to_pivot: np.ndarray) -> float:
-        """A bound on the k-th distance, one's own vector aside, from distances to the pivots."""
-        ups = np.sort(np.concatenate([to_pivot[c] + near_of[c] for c in cells]))
+        """A bound on the k-th distance, one's own vec_id aside, from distances to the pivots; a vec_id takes one place."""
+        ups = np.concatenate([to_pivot[c] + near_of[c] for c in cells])
+        order = np.argsort(ups, kind="stable")
+        ups = np.sort(ups[order[np.unique(near_ids[order], return_index=True)[1]]])
         return float(ups[k]) + slack if len(ups) > k else np.inf
 
     listed: dict[int, list[int]] = {}

@@ -227,3 +227,15 @@ def test_segmentation_is_the_cheapest():
         best = min(best, sum(s.cost.get(w, s.unknown(len(w))) for w in words))
     assert abs(best - sum(s.cost.get(w, s.unknown(len(w))) for w in s(run))) < 1e-9
     assert s("freecasino") == ["free", "casino"]
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.01])
+def test_voronoi_with_repeated_query_ids(spark, spread):
+    r = np.random.default_rng(4)
+    rows = [(50, [1.0, spread * i]) for i in range(12)] + [(1, [0.5, 0.0]), (2, [0.2, 0.0])] + [(int(i), [float(x) for x in r.normal(size=2) / 9]) for i in range(101, 130)]
+    for kept in (rows[:14], rows):
+        df = spark.createDataFrame(kept, "vec_id long, embedding array<float>")
+        got = sorted(map(tuple, voronoi.ranked(voronoi.nearest_join(usable(df, True)), 5).withColumn("score", F.col("score").cast("long")).collect()))
+        v = [np.floor(np.array(x, np.float32).astype(float) * 256).astype(int) for _, x in kept]
+        pairs = sorted((-int(a @ b), j) for (i, _), a in zip(kept, v, strict=True) if i % 50 == 0 for (j, _), b in zip(kept, v, strict=True) if i != j)[:5]
+        assert got == [(50, k + 1, j, -s) for k, (s, j) in enumerate(pairs)]
