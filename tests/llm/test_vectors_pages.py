@@ -239,3 +239,20 @@ def test_voronoi_with_repeated_query_ids(spark, spread):
         v = [np.floor(np.array(x, np.float32).astype(float) * 256).astype(int) for _, x in kept]
         pairs = sorted((-int(a @ b), j) for (i, _), a in zip(kept, v, strict=True) if i % 50 == 0 for (j, _), b in zip(kept, v, strict=True) if i != j)[:5]
         assert got == [(50, k + 1, j, -s) for k, (s, j) in enumerate(pairs)]
+
+
+def test_op9_keeps_all_counted_words(spark):
+    # 25,000 words that occur once: one of them holds the seed word "casino"; the counts decide the split.
+    titles = ["".join("abcdefghij"[int(c)] for c in str(100_000 + i)) for i in range(25_000)] + ["xcasinox"]
+    urls = ["http://xcasinox.org/", "http://casino.org/", "http://q.org/bookxcasinox", "http://q.org/freecasinobonus"]
+    df = spark.createDataFrame([(i, u, f"<title>{' '.join(titles[i::4])}</title>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    counts = {r.w: r.n for r in url_filter.title_words(df).collect()}
+    assert len(counts) == 25_001
+    model = url_filter.UrlModel(counts)
+    want = {}
+    for i, u in enumerate(urls):
+        host, path = url_filter.split_url(u)
+        seen = [model.weight[w] for w in model.words(host) + model.words(path) if w in model.weight]
+        want[i] = "block" if seen and model.prior + sum(seen) > 0 else "allow"
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(df, url_filter.title_words(df)).collect()} == want
+    assert want[0] == "allow" and want[1] == "block"
