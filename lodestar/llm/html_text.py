@@ -50,7 +50,8 @@ BLOCKS = set(
 VOID = {"hr", "br", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
 CLOSES_P = BLOCKS - {"option", "td", "th", "tr", "tbody", "thead", "tfoot", "button", "noscript", "object", "video", "audio", "canvas"}
 OWN_KIND = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>""")  # a quote opens a value only after =
+_ENDS = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 _NAMES = re.compile(r"""(?:class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I)
 _TOKENS = re.compile("[a-z]+")
 _STOPS = re.compile(r"[.!?。]")
@@ -68,7 +69,6 @@ def parse(page: str) -> Node:
     root = here = Node("#root", "", None)
     run: list[str] = []
     linked, in_link, at, end = 0, False, 0, len(page)
-    lower = None
 
     def flush() -> None:
         nonlocal linked
@@ -132,12 +132,10 @@ def parse(page: str) -> Node:
                     flush()
             continue
         if tag in RAW:
-            if lower is None:
-                lower = page.lower()
-            to = lower.find("</" + tag, at)
-            if to < 0:
+            close = _ENDS[tag].search(page, at)
+            if not close:
                 break
-            stop = page.find(">", to)
+            stop = page.find(">", close.start())
             at = end if stop < 0 else stop + 1
             continue
         if tag == "a":

@@ -256,3 +256,14 @@ def test_op9_keeps_all_counted_words(spark):
         want[i] = "block" if seen and model.prior + sum(seen) > 0 else "allow"
     assert {r.page_id: r.verdict for r in url_filter.judge_urls(df, url_filter.title_words(df)).collect()} == want
     assert want[0] == "allow" and want[1] == "block"
+
+
+def test_pages_go_on_after_unpaired_quotes():
+    def said(page):
+        return [n.text for n in html_text.nodes_of(html_text.parse(page)) if n.tag == "#text"]
+
+    for attrs in ("title=it's", 'width=5"', "title='open", 'title="open', 'a=b="c'):
+        assert said(f"<div><p {attrs}>one</p><p>two</p></div>") == ["one", "two"]
+    assert said("<p title=it's>one</p><p title=it's>two</p>") == ["one", "two"]
+    assert said("<p title = 'a > b' alt=\"x>y\">one</p>") == ["one"]
+    assert said("<p>" + "İ" * 40 + "</p><SCRIPT>x</Script><p>kept</p><p>also</p>")[1:] == ["kept", "also"]
