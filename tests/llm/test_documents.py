@@ -55,7 +55,7 @@ def test_suffix_arrays():
     for _ in range(25):
         contexts = [bytes(r.choice(b"ab") for _ in range(r.randint(12, 60))) for _ in range(r.randint(1, 12))]
         seen = collections.Counter(c[i : i + 12] for c in contexts for i in range(len(c) - 11))
-        assert [h.tolist() for h in suffix_dedup.repeated_windows(contexts, 12)] == [[seen[c[i : i + 12]] > 1 for i in range(len(c) - 11)] for c in contexts]
+        assert [h.tolist() for h in suffix_dedup.repeated_windows(contexts, suffix_dedup.Units(12, 4))] == [[seen[c[i : i + 12]] > 1 for i in range(len(c) - 11)] for c in contexts]
     text = np.array([r.randint(0, 3) for _ in range(300)], np.int16)
     order = suffix_dedup.suffix_array(text)
     assert order.tolist() == sorted(range(300), key=lambda i: text[i:].tolist())
@@ -66,10 +66,10 @@ def test_repeats_are_exact(spark, key_contexts):
     rows = texts(3)
     bodies = [(t or "").encode() for t in rows]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
-    got = {bytes(r.tid): (bytes(r.kept), r.n_removed, r.n_spans) for r in suffix_dedup.removed(suffix_dedup.with_body(df).select("tid", "body"), 64, 16, key_contexts).collect()}
+    got = {bytes(r.tid): (bytes(r.kept), r.n_removed, r.n_spans) for r in suffix_dedup.removed(suffix_dedup.with_body(df).select("tid", "body"), suffix_dedup.Units(64, 16), None, key_contexts).collect()}
     copies = collections.Counter(bodies)
     for body, want in zip(bodies, brute_repeats(bodies, 64), strict=True):
-        have = got.get(hashlib.sha256(body).digest(), (body, 0, 0))
+        have = got.get(hashlib.sha256(body).digest()[:16], (body, 0, 0))
         if copies[body] > 1 and len(body) >= 64:
             have = (b"", len(body), 1)
         assert have == want
@@ -81,12 +81,12 @@ def test_texts_longer_than_a_piece(spark, monkeypatch):
     bodies = [(t or "").encode() for t in rows]
     import pyarrow as pa
 
-    whole = {}
+    whole, units = {}, suffix_dedup.Units(64, 16)
     for piece in (500, 1 << 20):
         monkeypatch.setattr(suffix_dedup, "PIECE", piece)
         found = set()
-        for data, ends, of, offsets in suffix_dedup.chunks(pa.array(bodies, pa.binary()), 64):
-            first, last, at, _ = suffix_dedup.runs(data, ends, 64, 16)
+        for data, ends, of, offsets in suffix_dedup.chunks(pa.array(bodies, pa.binary()), units):
+            first, last, at, _ = suffix_dedup.runs(data, ends, units)
             k = np.searchsorted(ends, first, side="right")
             begin = np.concatenate([[0], ends[:-1]])[k]
             for a, z, p, o, s, b in zip(first, last, at, of[k], offsets[k], begin, strict=True):
@@ -105,6 +105,57 @@ def test_without_repeats_keeps_columns(spark):
     assert suffix_dedup.without_repeats(df.limit(0), 64).count() == 0
 
 
+def test_op6_at_400_bytes(spark, tmp_path, monkeypatch):
+    r = random.Random(21)
+    passages = [words(r, 200) for _ in range(3)]
+    short = " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60))  # over 50 words, below 400 bytes
+    rows = [words(r, r.randint(0, 90)) + " " + r.choice(passages)[r.randint(0, 500) :] + words(r, r.randint(0, 60)) for _ in range(60)]
+    base = words(r, 400).split()
+    for _ in range(90):  # a group of near copies: anchors with many contexts
+        x = list(base)
+        for _ in range(r.randint(1, 3)):
+            x[r.randint(0, 399)] = words(r, 1)
+        rows.append(" ".join(x))
+    rows += [f"{words(r, 5)} {short} {words(r, 9)}" for _ in range(3)] + rows[:5] + [None, "", "é" * 500, "x" * 900, "x" * 399, "y" * 400, "y" * 400]
+    df = spark.createDataFrame([(i if i % 9 else None, t, "a", 1, "b") for i, t in enumerate(rows)], "doc_id long, text string, body string, n_bytes int, tid string")
+    bodies = [(t or "").encode() for t in rows]
+    seen = collections.Counter(w for t in rows for w in {tuple(p[i : i + 51]) for p in [(t or "").split()] for i in range(len(p) - 50)})
+    want = []
+    for i, (b, (kept, n, spans)) in enumerate(zip(bodies, brute_repeats(bodies, 400), strict=True)):
+        want.append((str(i if i % 9 else None), len(b), n, spans, hashlib.sha256(kept).hexdigest()))
+    for key_contexts in (128, 4):
+        df.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        monkeypatch.setattr(suffix_dedup.removed, "__defaults__", (suffix_dedup.BYTES, None, key_contexts))
+        got = suffix_dedup.op6_suffix_dedup(spark, str(tmp_path)).collect()
+        assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == sorted(want)
+    by = {x.doc_id: x for x in got}
+    for i, t in enumerate(rows):
+        p = (t or "").split()
+        if i % 9 and rows.count(t) == 1:
+            gone = {j for k in range(len(p) - 50) if seen[tuple(p[k : k + 51])] > 1 for j in range(k, k + 51)}
+            assert by[i].n_passage_words == len(gone)
+    assert any(x.n_passage_words and not x.n_removed for x in got)
+    df.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert suffix_dedup.op6_suffix_dedup(spark, str(tmp_path)).collect() == []
+
+
+def test_merging_sorted_arrays():
+    r = random.Random(22)
+    for _ in range(50):
+        runs = [sorted({bytes([r.randint(0, 3)]) * 15 + bytes([r.randint(0, 3)]) for _ in range(r.randint(0, 9))}) for _ in range(r.randint(2, 7))]
+        n = collections.Counter(x for run in runs for x in run)
+        arrays, owners, done = [], [], 0
+        for run in runs:
+            arrays.append((np.array(run, "S16"), np.arange(done, done + len(run))))
+            owners += run
+            done += len(run)
+        found = []
+        while len(arrays) > 1:
+            arrays = [suffix_dedup.merged(*arrays[i : i + 2], found) if i + 1 < len(arrays) else arrays[i] for i in range(0, len(arrays), 2)]
+        assert sorted(k for f in found for k in f.tolist() if k >= 0) == [k for k, x in enumerate(owners) if n[x] > 1]
+        assert (arrays[0][0] == np.array(sorted(n), "S16")).all()
+
+
 def brute_fingerprint(text):
     w = [x.encode() for x in "".join(c.lower() if c.isascii() else c for c in text or "").translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" ") if x]
     if not w:
