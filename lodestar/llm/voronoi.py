@@ -4,21 +4,22 @@ Vectors become integers, floor(scale * x). Largest inner product is nearest neig
 each data vector x gets one more component sqrt(M - |x|^2), M the largest squared norm, and
 each query a 0: the squared distance is then |q|^2 + M - 2 q.x.
 
-Pivots (a bounded sample) cut the space into cells; data and queries belong to the cell
-of their nearest pivot. Summaries (per cell the count, the range of distances to its pivot
-and the k + 1 smallest of them over distinct vec_ids; per group of queries the largest distance) give each group
-a bound on its k-th distance, and by the triangle inequality the cells that can hold a
-neighbour; each query then narrows its group's list by its own distances. Queries, the
-smaller side, are copied to those cells only; cells are cut into blocks of bounded size, so
-that neither a dense cell nor many equal vectors meet in one task. A block answers with its
-own best k that are not below the query's bound, and the best k of all are kept. Bounds
-have a margin for rounding; scores are exact integers.
+Pivots (as many as the square root of the rows, to PIVOTS, from a bounded sample) cut the space into
+cells; data and queries belong to the cell of their nearest pivot. Summaries (per cell the count, the
+range of distances to its pivot and the k + 1 smallest of them over distinct vec_ids; per cell of queries
+the largest distance) give each cell of queries a bound on its k-th distance. Neighbouring cells of queries
+share a group of bounded size. By the triangle inequality a data vector can only be a neighbour of a group's
+query if its distance to its own pivot lies in an interval for this group and cell; it is replicated
+to those groups and no others, and each group is solved locally. The queries of a group are sent once to
+each slice of its data, so that no task reads more than a bounded part of them. Bounds have a margin for
+rounding; scores are exact integers.
 
 Defined cases: null vectors, and those with null or non-finite components, take no part,
 nor do those of another length than the commonest; zero vectors do. A query's own vec_id is
-no candidate, so a vec_id that is repeated is none for itself; repeated rows otherwise
-count each. Ties go to the smaller vec_id. With fewer candidates than k all are returned;
-an empty table gives an empty result; other columns are ignored.
+no candidate, so a vec_id that is repeated is none for itself. Rows that repeat a queried vec_id and its
+vector ask once; different vectors of one vec_id are asked each, and the best of all their answers
+count. Rows that repeat a candidate count each. Ties go to the smaller vec_id. With fewer candidates
+than k all are returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import table, written
-from lodestar.llm.vectors import SEARCH_ROWS, matrix, past_blocks, search_rows, usable
+from lodestar.llm.common import Scratch, shuffle_partitions, table, written
+from lodestar.llm.vectors import GROUP, grouped, matrix, past_groups, ranked, slices, usable
 
 SCALE = 256
 K = 5
 EVERY = 50
-PIVOTS = 16
+PIVOTS = 1024  # at most; their distances from each other are a matrix on the driver
 SAMPLE = 2048
-BLOCK = 2048
 
 
 def integers(x: np.ndarray, scale: int) -> np.ndarray:
@@ -47,28 +47,29 @@ def integers(x: np.ndarray, scale: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products, exact: floating point while every partial sum is below 2^53."""
+    """Inner products, exact: as floating point while every partial sum is below 2^53, else as integers of 64 bits."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
-    return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if most < 2**53 else q @ x.T
+    return q.astype(np.float64) @ x.T.astype(np.float64) if most < 2**53 else q @ x.T
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best columns of each row, but for the row's own id and what is below least; of equals the first. ids are sorted."""
-    scores = np.where(ids[None, :] == own[:, None], -np.inf, scores)
+def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best columns of each row, but for the row's own id; of equals the first. ids are sorted. Scores are changed."""
+    none = -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
+    a, z = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
+    for i in np.flatnonzero(z > a):
+        scores[i, a[i] : z[i]] = none
+    left = len(ids) - (z - a)
     rows = np.arange(len(scores))
     who, found, value = [], [], []
-    for _ in range(min(k, scores.shape[1])):
+    for turn in range(min(k, scores.shape[1])):
         j = scores.argmax(1)
-        v = scores[rows, j]
-        ok = (v >= least) & np.isfinite(v)
-        if not ok.any():
-            break
+        ok = left > turn
         who.append(rows[ok])
         found.append(ids[j[ok]])
-        value.append(v[ok])
-        scores[rows, j] = -np.inf
-    none = np.zeros(0)
-    return np.concatenate([none, *who]).astype(np.int64), np.concatenate([none.astype(np.int64), *found]), np.concatenate([none, *value])
+        value.append(scores[rows, j][ok])
+        scores[rows, j] = none
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *who]), np.concatenate([empty, *found]), np.concatenate([np.zeros(0, scores.dtype), *value])
 
 
 class Space:
@@ -88,45 +89,52 @@ class Space:
         return np.sqrt(np.maximum(0, square))
 
 
-def nearest_join(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """query_id, vec_id, score (double, an integer) of the k best for each query. rows: from usable()."""
-    spark = rows.sparkSession
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.floor(x * scale).cast("double") * F.floor(x * scale).cast("double"))
-    most = rows.agg(F.max(norm)).first()[0]
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(8)), "vec_id").limit(SAMPLE).collect() if most is not None else []
-    if not sample:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double")
-    drawn = integers(np.array([r["vector"] for r in sample]), scale)
-    drawn = np.unique(drawn, axis=0)
-    chosen = [0]  # each pivot the farthest from those before it
+def pivots_of(drawn: np.ndarray, n: int) -> np.ndarray:
+    """n rows of the sample, each the farthest from those before it."""
+    chosen = [0]
     far = ((drawn - drawn[0]).astype(float) ** 2).sum(1)
-    while len(chosen) < min(pivots, len(drawn)) and far.max() > 0:
+    while len(chosen) < min(n, len(drawn)) and far.max() > 0:
         chosen.append(int(far.argmax()))
         far = np.minimum(far, ((drawn - drawn[chosen[-1]]).astype(float) ** 2).sum(1))
-    space = Space(drawn[chosen], float(most))
-    n_cells = len(chosen)
+    return drawn[chosen]
+
+
+def nearest_join(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, pivots: int | None = None, group: int = GROUP) -> DataFrame:
+    """query_id, vec_id, score (long) of the k best for each query, and some more. rows: from usable()."""
+    spark = rows.sparkSession
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.floor(x * scale).cast("double") * F.floor(x * scale).cast("double"))
+    most, n_rows = rows.agg(F.max(norm), F.count("*")).first()
+    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(8)), "vec_id").limit(SAMPLE).collect() if n_rows else []
+    if not sample:
+        return spark.createDataFrame([], "query_id long, vec_id long, score long")
+    drawn = np.unique(integers(np.array([r["vector"] for r in sample]), scale), axis=0)
+    space = Space(pivots_of(drawn, pivots or min(PIVOTS, max(16, int(n_rows**0.5)))), float(most))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
         for b in batches:
             if not len(b):
                 continue
             x = integers(matrix(b.column("vector")), scale)
             d = space.to_pivots(x, False)
             own = np.flatnonzero(b.column("vec_id").to_numpy() % every == 0)
-            group, to = np.full(len(x), -1, np.int32), np.zeros(len(x))
+            asks, to = np.full(len(x), -1, np.int32), np.zeros(len(x))
             if len(own):
                 dq = space.to_pivots(x[own], True)
-                group[own], to[own] = dq.argmin(1), dq.min(1)
+                asks[own], to[own] = dq.argmin(1), dq.min(1)
             cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell]), pa.array(group), pa.array(to), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "cell", "d", "grp", "to", "payload"])
+            deal = np.arange(done, done + len(x))
+            done += len(x)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell]), pa.array(asks), pa.array(to), pa.array(deal), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "cell", "d", "asks", "to", "deal", "payload"])
 
-    placed = written(rows.mapInArrow(place, "vec_id long, cell int, d double, grp int, to double, payload binary"))
+    placed = written(rows.mapInArrow(place, "vec_id long, cell int, d double, asks int, to double, deal long, payload binary"))
 
     def summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         near: dict[int, pd.Series] = {}
         count: dict[int, int] = {}
         far: dict[int, float] = {}
         reach: dict[int, float] = {}
+        asked: dict[int, int] = {}
         for f in frames:
             for c, rows in f.groupby("cell"):
                 d = rows["d"]
@@ -134,77 +142,65 @@ def nearest_join(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = S
                 near[c] = (pd.concat([near[c], low]).groupby(level=0).min() if c in near else low).nsmallest(k + 1)
                 count[c] = count.get(c, 0) + len(d)
                 far[c] = max(far.get(c, 0.0), d.max())
-            for g, t in f[f["grp"] >= 0].groupby("grp")["to"]:
+            for g, t in f[f["asks"] >= 0].groupby("asks")["to"]:
                 reach[g] = max(reach.get(g, 0.0), t.max())
-        yield pd.DataFrame([(int(c), count.get(c, 0), far.get(c, 0.0), [{"d": float(d), "id": int(i)} for i, d in near[c].items()] if c in near else [], reach.get(c, -1.0)) for c in {*count, *reach}], columns=["cell", "n", "far", "near", "reach"])
+                asked[g] = asked.get(g, 0) + len(t)
+        yield pd.DataFrame([(int(c), count.get(c, 0), far.get(c, 0.0), [{"d": float(d), "id": int(i)} for i, d in near[c].items()] if c in near else [], reach.get(c, -1.0), asked.get(c, 0)) for c in {*count, *reach}], columns=["cell", "n", "far", "near", "reach", "asked"])
 
-    parts = written(placed.select("vec_id", "cell", "d", "grp", "to").mapInPandas(summarise, "cell int, n long, far double, near array<struct<d: double, id: long>>, reach double"))
-    summary = {r["cell"]: r for r in parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.max("reach").alias("reach")).collect()}
+    parts = written(placed.select("vec_id", "cell", "d", "asks", "to").mapInPandas(summarise, "cell int, n long, far double, near array<struct<d: double, id: long>>, reach double, asked long"))
+    summary = {r["cell"]: r for r in parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.max("reach").alias("reach"), F.sum("asked").alias("asked")).collect()}
     low = parts.select("cell", F.inline("near")).groupBy("cell", "id").agg(F.min("d").alias("d"))
     nearest = {r["cell"]: r["near"] for r in low.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, k + 1).alias("near")).collect()}
-    cells = [c for c in range(n_cells) if c in summary and summary[c]["n"]]
-    blocks = {c: int(-(-summary[c]["n"] // block)) for c in cells}
-    between = np.sqrt(np.maximum(0, ((space.pivots[:, None, :] - space.pivots[None, :, :]) ** 2).sum(2)))  # from data pivot to data pivot
+    cells = [c for c in range(len(space.pivots)) if c in summary and summary[c]["n"]]
+    between = np.sqrt(np.maximum(0, (space.pivots**2).sum(1)[:, None] + (space.pivots**2).sum(1)[None, :] - 2 * space.pivots @ space.pivots.T))
     # A query's pivot distance is to the lifted pivot, so the triangle inequality holds between them as they are.
-    slack = 1e-9 * (float(most) ** 0.5 + 1) + 1e-6
-    near_of = {c: np.array([x["d"] for x in nearest[c]]) for c in cells}
-    near_ids = np.array([x["id"] for c in cells for x in nearest[c]], np.int64)
+    slack = 1e-7 * (float(most) ** 0.5 + 1) + 1e-6
+    near_d = np.array([x["d"] for c in cells for x in nearest[c]])
+    near_id = np.array([x["id"] for c in cells for x in nearest[c]], np.int64)
+    near_cell = np.array([c for c in cells for _ in nearest[c]], np.int64)
 
     def kth(to_pivot: np.ndarray) -> float:
         """A bound on the k-th distance, one's own vec_id aside, from distances to the pivots; a vec_id takes one place."""
-        ups = np.concatenate([to_pivot[c] + near_of[c] for c in cells])
+        ups = to_pivot[near_cell] + near_d
         order = np.argsort(ups, kind="stable")
-        ups = np.sort(ups[order[np.unique(near_ids[order], return_index=True)[1]]])
+        ups = np.sort(ups[order[np.unique(near_id[order], return_index=True)[1]]])
         return float(ups[k]) + slack if len(ups) > k else np.inf
 
-    listed: dict[int, list[int]] = {}
-    for g, r in summary.items():
-        if r["reach"] >= 0:
-            bound = kth(between[g] + r["reach"])
-            listed[g] = [c for c in cells if between[g][c] - r["reach"] - summary[c]["far"] <= bound + slack]
-    far_of = {c: float(summary[c]["far"]) for c in cells}
-
-    def data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, cell = b.column("vec_id").to_numpy(), b.column("cell").to_numpy()
-            n = np.array([blocks[int(c)] for c in cell], np.uint64)
-            at = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.maximum(n, 1)
-            yield search_rows(cell, at.astype(np.int32), 0, ids, b.column("payload").to_pylist(), np.zeros(len(ids)))
-
-    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            ids, raw = b.column("vec_id").to_pylist(), b.column("payload").to_pylist()
-            x = np.frombuffer(b"".join(raw), np.int64).reshape(len(raw), -1)
-            dq = space.to_pivots(x, True)
-            out = []
-            for i, g in enumerate(b.column("grp").to_pylist()):
-                bound = kth(dq[i])
-                least = (float((x[i].astype(float) ** 2).sum()) + space.most - bound**2) / 2 - 1 if np.isfinite(bound) else -np.inf
-                least -= 1e-9 * abs(least) if np.isfinite(least) else 0
-                out += [(c, p, ids[i], raw[i], least) for c in listed[g] if dq[i][c] - far_of[c] <= bound + slack for p in range(blocks[c])]
-            for s in range(0, len(out), 20_000):
-                cols = list(zip(*out[s : s + 20_000], strict=True))
-                yield search_rows(cols[0], cols[1], 1, cols[2], cols[3], cols[4])
-
-    def solve(cell, ids, x, q_ids, q, bounds):
-        by = np.argsort(ids, kind="stable")
-        return best(products(q, x[by]).astype(np.float64), ids[by], q_ids, k, bounds)
-
-    both = placed.select("vec_id", "cell", "payload").mapInArrow(data, SEARCH_ROWS).unionByName(placed.where("grp >= 0").select("vec_id", "grp", "payload").mapInArrow(queries, SEARCH_ROWS))
-    return past_blocks(both, solve, "<i8", "<i8")
-
-
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query with their rank from 1; ties to the smaller vec_id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    own_group, n_parts = grouped({c: r["asked"] for c, r in summary.items()}, space.pivots, group)
+    away = between[:, cells]
+    lows, highs = {}, {}  # of each group: the interval of distances to the pivot of each cell, for any of its cells of queries
+    for c, g in own_group.items():
+        reach = summary[c]["reach"]
+        bound = kth(between[c] + reach)
+        low_c, high_c = away[c] - reach - bound - slack, away[c] + reach + bound + slack
+        lows[g] = np.minimum(lows.get(g, np.inf), low_c)
+        highs[g] = np.maximum(highs.get(g, -np.inf), high_c)
+    partitions = shuffle_partitions(spark)
+    needs, n_slices = [], {}
+    for g in lows:
+        needed = [(i, c) for i, c in enumerate(cells) if lows[g][i] <= summary[c]["far"]]
+        n_slices[g] = slices(sum(summary[c]["n"] for _, c in needed), partitions)
+        needs += [(g, c, float(lows[g][i]), float(highs[g][i]), n_parts[g], n_slices[g]) for i, c in needed]
+    if not needs:
+        return spark.createDataFrame([], "query_id long, vec_id long, score long")
+    # At most PIVOTS groups before parts, times PIVOTS cells.
+    wanted = spark.createDataFrame(needs, "grp int, cell int, low double, high double, parts int, slices int")
+    data = placed.join(wanted, "cell").where("d between low and high").select("grp", F.expr("explode(sequence(0, parts - 1))").alias("part"), F.expr("cast(pmod(deal, slices) as int)").alias("slice"), F.col("vec_id").alias("id"), "cell", "payload")
+    asks = spark.createDataFrame([(c, g, n_parts[g], n_slices[g]) for c, g in own_group.items()], "asks int, grp int, parts int, slices int")
+    queries = placed.where("asks >= 0").select("vec_id", "asks", "payload").dropDuplicates(["vec_id", "payload"]).join(asks, "asks")
+    queries = queries.select("grp", F.expr("cast(pmod(xxhash64(vec_id, payload), parts) as int)").alias("part"), F.expr("explode(sequence(0, slices - 1))").alias("slice"), F.col("vec_id").alias("id"), "payload")
+
+    def solve(ids, _, x, q_ids, q):
+        some = [best(products(q[s : s + 512], x), ids, q_ids[s : s + 512], k) for s in range(0, len(q), 512)]
+        who, found, score = (np.concatenate([r[i] + (512 * t if i == 0 else 0) for t, r in enumerate(some)]) for i in range(3))
+        return who, found, score.astype(np.int64)
+
+    return past_groups(data, queries, solve, "<i8", "<i8", pa.int64())
 
 
 def op8_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nearest_join(usable(table(spark, sf_dir, "embeddings"), zero=True))
-    return ranked(found, K).withColumn("score", F.col("score").cast("long"))
+    with Scratch() as scratch:
+        return scratch.keep(written(ranked(nearest_join(usable(table(spark, sf_dir, "embeddings"), zero=True)), K)))
 
 
 #: floor(256 * x) of x as double; every pair of a query and another row.
@@ -217,7 +213,7 @@ WITH v AS (
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND c.vec_id <> q.vec_id
+  FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % {EVERY} = 0) q JOIN v c ON c.vec_id <> q.vec_id
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)

@@ -4,11 +4,10 @@ import random
 
 import duckdb
 import numpy as np
-import pyspark.sql.functions as F
 import pytest
 
 from lodestar.llm import chat, html_text, ivfpq, url_filter, voronoi
-from lodestar.llm.vectors import usable
+from lodestar.llm.vectors import ranked, usable
 
 SF = "/root/testdata/sf0.01"
 
@@ -22,10 +21,10 @@ def vectors(spark, n, seed, dims=8):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell int"), x.astype(np.float32).astype(np.float64)
 
 
-@pytest.mark.parametrize(("n", "block"), [(700, 64), (40, 2048), (3, 8)])
-def test_voronoi_join_is_exact(spark, n, block):
+@pytest.mark.parametrize(("n", "group"), [(700, 9), (40, 4096), (3, 1)])
+def test_voronoi_join_is_exact(spark, n, group):
     df, x = vectors(spark, n, 1)
-    got = sorted(map(tuple, voronoi.ranked(voronoi.nearest_join(usable(df, True), every=7, block=block), 5).withColumn("score", F.col("score").cast("long")).collect()))
+    got = sorted(map(tuple, ranked(voronoi.nearest_join(usable(df, True), every=7, group=group), 5).collect()))
     ids = [*range(n), n + 3]
     v = np.floor(np.vstack([x, np.zeros((1, x.shape[1]))]) * 256).astype(np.int64)
     want = []
@@ -43,16 +42,17 @@ def test_voronoi_without_rows(spark):
     assert ivfpq.search(usable(df.limit(0), False)).count() == 0
 
 
-@pytest.mark.parametrize("n", [4, 60, 1500])
-def test_ivfpq_recall(spark, n):
+@pytest.mark.parametrize(("n", "group"), [(4, 4096), (60, 2), (1500, 20), (12000, 4096)])
+def test_ivfpq_recall(spark, n, group):
     df, x = vectors(spark, n, 2)
-    got = voronoi.ranked(ivfpq.search(usable(df, False), every=10), 5).collect()
+    every = 10 if n < 5000 else 50
+    got = ranked(ivfpq.search(usable(df, False), every=every, group=group), 5).collect()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     by = {}
     for r in got:
         by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
         assert abs(u[r.query_id] @ u[r.vec_id] - r.score) < 1e-12 and r.query_id != r.vec_id
-    queries = range(0, n, 10)
+    queries = range(0, n, every)
     assert set(by) == set(queries)
     hits = []
     for q in queries:
@@ -61,14 +61,51 @@ def test_ivfpq_recall(spark, n):
         assert len(by[q]) == min(5, n - 1)
         assert [r for r, _, _ in sorted(by[q])] == list(range(1, len(by[q]) + 1))
         hits += [t >= worst - 1e-12 for _, _, t in by[q]]
+        for (_, i, s1), (_, j, s2) in zip(sorted(by[q]), sorted(by[q])[1:], strict=False):
+            assert (-s1, i) < (-s2, j)
     assert np.mean(hits) >= 0.9
 
 
+def test_probed_share_falls_where_lists_tell_rows_apart():
+    r = np.random.default_rng(3)
+    shares = []
+    for rows, clusters in ((400, 20), (8000, 400)):
+        centres = r.normal(size=(clusters, 16))
+        sample = ivfpq.unit(centres[r.integers(0, clusters, rows)] + 0.1 * r.normal(size=(rows, 16)))
+        index = ivfpq.Index(sample)
+        shares.append(index.probes / len(index.centres))
+    assert shares[1] < shares[0] and shares[1] < 0.3
+
+
+def brute_top(rows, every, score, k=5):
+    """Ranks by hand: every distinct (id, vector) that is asked, against every row of another id."""
+    out = []
+    for q in {i for i, _ in rows if i % every == 0}:
+        asked = {tuple(v) for i, v in rows if i == q}
+        found = sorted((-score(a, v), i) for a in asked for i, v in rows if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    return sorted(out)
+
+
 def test_repeated_rows_and_ids_in_searches(spark):
-    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = voronoi.ranked(voronoi.nearest_join(usable(df, True), every=5), 5).collect()
-    assert {r.vec_id for r in got} == {1, 2}
+    rows = [(0, (1.0, 0.0)), (0, (1.0, 0.0)), (1, (1.0, 0.125)), (3, (0.5, 0.25)), (2, (0.0, 1.0))]
+    for extra in ([], [(1, (1.0, 0.125))], [(0, (0.0, 1.0)), (5, (0.5, 0.25)), (5, (0.25, 0.75))]):
+        df = spark.createDataFrame([(i, list(v)) for i, v in rows + extra], "vec_id long, embedding array<float>")
+        exact = sorted(map(tuple, ranked(voronoi.nearest_join(usable(df, True), every=5), 5).collect()))
+        assert exact == brute_top(rows + extra, 5, lambda a, b: int(sum(np.floor(256 * x) * np.floor(256 * y) for x, y in zip(a, b, strict=True))))
+        near = sorted(map(tuple, ranked(ivfpq.search(usable(df, False), every=5), 5).collect()))
+        want = brute_top(rows + extra, 5, lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)))
+        assert [x[:2] for x in near] == [x[:2] for x in want] and np.allclose([x[3] for x in near], [x[3] for x in want])
+        if not extra:
+            assert [x[2] for x in exact] == [1, 3, 2] and near == [pytest.approx(x) for x in want]
+
+
+def test_large_scores_stay_exact(spark):
+    big = 2.0**20
+    rows = [(0, [big, 1.0, 0.0]), (1, [big, 0.0, 0.0]), (2, [big, 1 / 256, 0.0]), (3, [big, 2 / 256, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ranked(voronoi.nearest_join(usable(df, True), every=5), 5).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(3, 2**56 + 512), (2, 2**56 + 256), (1, 2**56)]
 
 
 def test_chat_template_is_reversible():
@@ -235,10 +272,9 @@ def test_voronoi_with_repeated_query_ids(spark, spread):
     rows = [(50, [1.0, spread * i]) for i in range(12)] + [(1, [0.5, 0.0]), (2, [0.2, 0.0])] + [(int(i), [float(x) for x in r.normal(size=2) / 9]) for i in range(101, 130)]
     for kept in (rows[:14], rows):
         df = spark.createDataFrame(kept, "vec_id long, embedding array<float>")
-        got = sorted(map(tuple, voronoi.ranked(voronoi.nearest_join(usable(df, True)), 5).withColumn("score", F.col("score").cast("long")).collect()))
-        v = [np.floor(np.array(x, np.float32).astype(float) * 256).astype(int) for _, x in kept]
-        pairs = sorted((-int(a @ b), j) for (i, _), a in zip(kept, v, strict=True) if i % 50 == 0 for (j, _), b in zip(kept, v, strict=True) if i != j)[:5]
-        assert got == [(50, k + 1, j, -s) for k, (s, j) in enumerate(pairs)]
+        got = sorted(map(tuple, ranked(voronoi.nearest_join(usable(df, True)), 5).collect()))
+        whole = [(i, tuple(np.floor(np.array(x, np.float32).astype(float) * 256).astype(int).tolist())) for i, x in kept]
+        assert got == brute_top(whole, 50, lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)))
 
 
 def test_op9_keeps_all_counted_words(spark):
