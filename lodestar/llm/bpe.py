@@ -34,6 +34,7 @@ from lodestar.llm.common import hold, lead_columns, table
 END = "\x00"  # stands for the word end inside the automaton; never a byte-level character
 CHUNKS_KEPT = 250_000  # entries of the per-worker cache of encoded words; it is emptied beyond
 PAIRS_KEPT = 1_500_000
+CHUNK_CHARS = 64  # longer words are not remembered
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the vocabulary's \s
 
 
@@ -52,9 +53,11 @@ class _Cache(dict):
         self.encode, self.limit = encode, limit
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        self[chunk] = found = self.encode(chunk)
+        found = self.encode(chunk)
+        if len(chunk) <= CHUNK_CHARS:
+            if len(self) >= self.limit:
+                self.clear()
+            self[chunk] = found
         return found
 
 

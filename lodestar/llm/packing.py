@@ -36,6 +36,7 @@ SEQUENCE = 2048
 SEPARATOR = 0
 SHARD_PIECES = 20_000  # pieces in a packing shard, on average
 CHUNKS_KEPT = 600_000  # words that a worker remembers; it forgets all beyond
+CHUNK_CHARS = 64  # longer words are forgotten at once
 _ODD = re.compile("[\x1c-\x1fΣ]")
 
 
@@ -93,7 +94,11 @@ class Tokens:
         unseen = [w for w in {w for words in split if words for w in words} if w not in known]
         for k in range(0, len(unseen), 2000):
             self.learn(unseen[k : k + 2000])
-        return [self.whole(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        out = [self.whole(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        for w in unseen:
+            if len(w) > CHUNK_CHARS:
+                del known[w]
+        return out
 
 
 @functools.lru_cache(maxsize=2)

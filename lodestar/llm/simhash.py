@@ -18,9 +18,13 @@ neighbours within the radius. No bucket is capped.
 With several views (views_of) a text has further fingerprints, of its distinct words under
 different hashes, and is linked to what is within the radius in any view. The query uses one.
 
-With a similarity (one_of_each) links are only candidates: inside each component every pair of
-distinct texts, in pairs of blocks of bounded size, is judged by the exact Jaccard similarity of
-its shingle sets, and components are made anew of the pairs that reach it.
+With a similarity (one_of_each) links are only candidates: a component's distinct texts are dealt over blocks
+of at most BLOCK or so, where every pair is judged by the exact Jaccard similarity of its shingle sets. Texts
+that pairs connect are one group, and the one of them with most partners stands for it when those that still
+stand are dealt anew, until a component has one block. So a group of many near copies costs
+in proportion to its size; only where dealing joins next to nothing any more all pairs of blocks of what
+stands are judged. A component of up to BLOCK texts is judged pair by pair; in larger ones a link between two
+texts that do not stand can be missed if those that stand for them are not alike.
 
 Components: edges and maps stay in tables; each round contracts them by a share.
 
@@ -44,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar import ship
-from lodestar.llm.common import hold, lead_columns, shuffle_partitions, table, written
+from lodestar.llm.common import Scratch, hold, lead_columns, shuffle_partitions, table, written
 
 SHINGLE = 3
 SEED = 42
@@ -348,7 +352,7 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets whose Jaccard similarity is reached; empty sets are equal."""
+    """(hub, member) for the sets that pairs of the given Jaccard similarity connect; the hub has most partners, of equals the first. Empty sets are equal."""
     size = np.array([len(x) for x in sets], np.int64)
     of = np.repeat(np.arange(len(sets)), size)
     _, token, times = np.unique(np.concatenate([np.zeros(0, "<u8"), *sets]), return_inverse=True, return_counts=True)
@@ -364,16 +368,20 @@ def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
         has[of[a:b], token[a:b] - t] = 1
         both += has @ has.T
     near = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+    partners = near.sum(1)
     fresh, out = np.ones(len(sets), bool), []
     for i in range(len(sets)):
-        reached = [i] if fresh[i] else []
+        if not fresh[i]:
+            continue
         fresh[i] = False
-        while reached:
-            x = reached.pop()
-            hit = np.flatnonzero(near[x] & fresh)
+        group, k = [i], 0
+        while k < len(group):
+            hit = np.flatnonzero(near[group[k]] & fresh)
             fresh[hit] = False
-            out += [(x, y) for y in hit.tolist()]
-            reached += hit.tolist()
+            group += hit.tolist()
+            k += 1
+        hub = max(sorted(group), key=lambda j: partners[j])
+        out += [(hub, j) for j in group if j != hub]
     return out
 
 
@@ -383,7 +391,7 @@ def _compare(similarity: float):
         return pa.RecordBatch.from_pydict({k: pa.array([held[p[i]][0] for p in pairs], pa.int64()) for i, k in enumerate("ab")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a partition sorted by (head, i, j): one pair of blocks after another."""
+        """Rows of a partition sorted by (head, i, j, node): one block, or pair of blocks, after another."""
         held: list[tuple[int, bytes]] = []
         at = None
         for b in batches:
@@ -399,57 +407,88 @@ def _compare(similarity: float):
     return run
 
 
-def confirmed(rows: DataFrame, found: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """doc_id, digest, head as found, but components are of texts linked by a Jaccard similarity that is reached.
+def grouped_by_similarity(sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """a, b: links that connect the alike texts of each component. sets(head, node, shingles): a written table."""
+    n = shuffle_partitions(sets.sparkSession)
+    places = ["head", "i", "j"]
+
+    def judged(dealt: DataFrame) -> DataFrame:
+        return written(dealt.select(*places, "node", "shingles").repartition(n, *places).sortWithinPartitions(*places, "node").mapInArrow(_compare(similarity), "a long, b long"))
+
+    def with_blocks(level: DataFrame) -> DataFrame:
+        sizes = written(level.groupBy("head").agg(F.count("*").alias("m")).where("m > 1"))
+        return level.join(sizes, "head").withColumn("blocks", F.ceil(F.col("m") / block))
+
+    level, out, turn = with_blocks(sets), None, 0
+    while True:
+        dealt = level.withColumn("i", F.expr(f"pmod(xxhash64(node, {turn}), blocks)")).withColumn("j", F.lit(0).cast("long"))
+        found = judged(dealt)
+        out = found if out is None else out.unionByName(found)
+        several = level.where("blocks > 1").select("head", "node", "shingles")
+        standing = written(several.join(found.select(F.col("b").alias("node")).distinct(), "node", "left_anti").select("head", "node", "shingles"))
+        before, after = several.count(), standing.count()
+        level, turn = with_blocks(standing), turn + 1
+        if not after:
+            return out
+        if after > 0.9 * before:
+            break
+    # What still stands in components of several blocks is unlike nearly all that it has met: every pair of blocks.
+    rest = level.where("blocks > 1").withColumn("own", F.expr(f"pmod(xxhash64(node, {turn}), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    small = level.where("blocks = 1").select("head", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "node", "shingles")
+    return out.unionByName(judged(small.unionByName(rest.select("head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles"))))
 
-    rows: doc_id, text and _ld_digest. Every pair of a component's distinct texts is judged, not
-    only the links that span it.
-    """
+
+def confirmed(rows: DataFrame, found: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """doc_id, digest, head as found, but components are of texts linked by a Jaccard similarity that is reached. rows: doc_id, text and digest."""
     several = written(found.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"))
-    member = found.join(several, "head", "left_semi").select(F.col("doc_id").alias("id"), "digest", "head").distinct()
+    member = found.join(several, "head", "left_semi").select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), "head").distinct()
     text = F.coalesce("text", F.lit(""))
     # Texts told apart by a 128-bit digest; a node's name is of 64 bits.
     node = F.xxhash64("head", F.md5(text), text)
-    told = written(rows.join(member, (rows["_ld_digest"] == member["digest"]) & rows["doc_id"].eqNullSafe(member["id"])).select("doc_id", "digest", "head", text.alias("text")).withColumn("node", node))
+    told = written(rows.join(member, (rows["digest"] == member["d"]) & rows["doc_id"].eqNullSafe(member["id"])).select("doc_id", "digest", "head", text.alias("text")).withColumn("node", node))
     kinds = written(told.groupBy("node").agg(F.first("head").alias("head"), F.first("text").alias("text")))
-    sizes = written(kinds.groupBy("head").agg(F.count("*").alias("m")).where("m > 1"))
+    sizes = written(kinds.groupBy("head").agg(F.count("*").alias("m")).where("m > 1").select("head"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("simhash", int)
         for b in batches:
             sets = pa.array([shingle_set(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("head"), b.column("node"), b.column("m"), sets], ["head", "node", "m", "shingles"])
-
-    sets = kinds.join(sizes, "head").select("head", "node", "m", "text").mapInArrow(run, "head long, node long, m long, shingles binary")
-    blocks = F.ceil(F.col("m") / block)
-    dealt = sets.withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(node, 1), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    dealt = dealt.select("head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
-    pairs = dealt.repartition(shuffle_partitions(found.sparkSession), "head", "i", "j").sortWithinPartitions("head", "i", "j").mapInArrow(_compare(similarity), "a long, b long")
-    parts = written(components(kinds.select("node", F.col("node").alias("label")), written(pairs)))
+            yield pa.RecordBatch.from_arrays([b.column("head"), b.column("node"), sets], ["head", "node", "shingles"])
+
+    sets = written(kinds.join(sizes, "head").select("head", "node", "text").mapInArrow(run, "head long, node long, shingles binary"))
+    pairs = grouped_by_similarity(sets, similarity, block)
+    parts = written(components(kinds.select("node", F.col("node").alias("label")), pairs))
     alone = found.join(several, "head", "left_anti").select("doc_id", "digest", "head")
     return alone.unionByName(told.select("doc_id", "digest", "node").join(parts.select("node", "head"), "node").select("doc_id", "digest", "head"))
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, views: int = 1, similarity: float | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = RADIUS, views: int = 1, similarity: float | None = None, block: int = BLOCK) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row of least doc_id (null last), then of least digest.
 
-    With a similarity, links are candidates and only those stand whose shingle sets reach it.
+    With a similarity, links are candidates and only those stand whose shingle sets reach it. Columns keep their names and values, whatever they are.
     """
     ship(docs.sparkSession)
-    rows = docs.withColumn("_ld_digest", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    found = written(near_duplicates(rows.select("doc_id", "text", F.col("_ld_digest").alias("digest")), radius, views))
-    if similarity is not None:
-        found = written(confirmed(rows.select("doc_id", "text", "_ld_digest"), found, similarity))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")).alias("keep")
-    keep = found.groupBy("head").agg(first).select(F.col("keep.doc_id").alias("_ld_id"), F.col("keep.digest").alias("_ld_digest"))
-    kept = rows.join(keep, (rows["_ld_digest"] == keep["_ld_digest"]) & rows["doc_id"].eqNullSafe(keep["_ld_id"]), "left_semi")
-    again = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    if not again.isEmpty():  # rows that repeat in all columns
-        kept = kept.dropDuplicates(["doc_id", "_ld_digest"])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = docs.columns
+    # Columns go by place, so that no name can clash.
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    rows = numbered.withColumn("digest", F.xxhash64(*numbered.columns))
+    texts = rows.select(F.col(f"c{names.index('doc_id')}").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"), "digest")
+    with Scratch() as scratch:
+        found = written(near_duplicates(texts, radius, views))
+        if similarity is not None:
+            found = written(confirmed(texts, found, similarity, block))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")).alias("keep")
+        keep = scratch.keep(written(found.groupBy("head").agg(first).select(F.col("keep.doc_id").alias("id"), F.col("keep.digest").alias("d"))))
+        repeated = not found.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    own = f"c{names.index('doc_id')}"
+    kept = rows.join(keep, (rows["digest"] == keep["d"]) & rows[own].eqNullSafe(keep["id"]), "left_semi")
+    if repeated:  # rows that repeat in all columns
+        kept = kept.dropDuplicates([own, "digest"])
+    return kept.drop("digest").toDF(*names)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lead_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
-    found = near_duplicates(docs.withColumn("digest", F.lit(0).cast("long")))
+    with Scratch() as scratch:
+        found = scratch.keep(written(near_duplicates(docs.withColumn("digest", F.lit(0).cast("long")))))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

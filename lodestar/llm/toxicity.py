@@ -1,15 +1,14 @@
 """Toxicity by classifier chains (operator 4).
 
 Categories are predicted one after another by linear (logistic) models: low quality, then
-toxic, then severe. Each model after the first also gets the probabilities of the earlier
+toxic, the two that labels tell. Each model after the first also gets the probabilities of the earlier
 categories; in training these are out-of-fold predictions, so that a later model sees them
 as wrong as they will be on new documents.
 
 Features: whether a document holds each of the selected markers (words and word beginnings
 that go with a category in the labelled rows, by a two-proportion z score), and a few
 ratios of its characters and words. Markers are counted on executors; what reaches the
-driver are at most MARKERS of them and TRAIN_ROWS short rows. `severe` has no label of its
-own: a toxic row is severe if it holds at least the median number of toxic markers.
+driver are at most MARKERS of them and TRAIN_ROWS short rows.
 
 The classifier is fitted on the TRAIN_ROWS labelled rows of least hash (a bound, stated
 here); everything else covers all documents and whole texts.
@@ -17,8 +16,8 @@ here); everything else covers all documents and whole texts.
 Defined cases: a null or empty text has no markers and zero ratios and is judged by the
 intercepts alone; a label row that repeats a doc_id counts once, a null label not at all;
 with no labelled row, or none of a category, its probability is 0; rows that repeat are
-judged each alike; an empty table gives an empty one; other columns pass through judge()
-unless they have the names of its results.
+judged each alike; an empty table gives an empty one; other columns pass through unchanged:
+without_toxic() takes any names, judge() adds its results beside those that it is given.
 """
 
 from __future__ import annotations
@@ -35,15 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from lodestar.llm.common import hold, lead_columns, table
+from lodestar.llm.common import dropped, hold, lead_columns, shuffle_partitions, table, written
 
-CATEGORIES = ("low_quality", "toxic", "severe")
+CATEGORIES = ("low_quality", "toxic")
 TRAIN_ROWS = 10_000
 MARKERS = 384
 BEGINNINGS = (4, 5)
 FOLDS = 5
 LEAST_Z = 3.5
 CHUNKS_KEPT = 150_000
+CHUNK_CHARS = 64  # longer chunks are not remembered
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -83,7 +83,9 @@ class Chain:
         for c in set(chunks):
             hit = found.get(c)
             if hit is None:
-                hit = found[c] = tuple(markers[m] for m in chunk_markers(c) if m in markers)
+                hit = tuple(markers[m] for m in chunk_markers(c) if m in markers)
+                if len(c) <= CHUNK_CHARS:
+                    found[c] = hit
             if hit:
                 own.update(hit)
         return sorted(own), ratios(text, chunks) if text else [0.0] * N_RATIOS
@@ -171,21 +173,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
         return Chain({}, [None] * len(CATEGORIES))
     schema = "doc_id long, toxic int, quality int"
     chosen = spark.createDataFrame([tuple(None if pd.isna(v) else int(v) for v in r) for r in sample[["doc_id", "toxic", "quality"]].itertuples(index=False)], schema)
-    texts = lead_columns(docs, ["doc_id", "text"]).join(F.broadcast(chosen), "doc_id")  # at most `rows` short rows
+    # At most `rows` short rows are broadcast. The sample is read from the documents once.
+    texts = written(lead_columns(docs, ["doc_id", "text"]).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).repartition(shuffle_partitions(spark)))
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter, ...] = (Counter(), Counter(), Counter())
-        for f in frames:
-            for text, toxic, quality in zip(f["text"], f["toxic"], f["quality"], strict=True):
+        for b in batches:
+            for text, toxic, quality in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "quality")), strict=True):
                 own = {m for c in set((text or "").lower().split()) for m in chunk_markers(c)}
                 held[0].update(own)
                 if toxic:
                     held[1].update(own)
                 if quality == 0:
                     held[2].update(own)
-        yield pd.DataFrame([(m, n, held[1][m], held[2][m]) for m, n in held[0].items()], columns=["marker", "n", "t", "q"])
+        found = list(held[0].items())
+        cols = [[m for m, _ in found], [n for _, n in found], *([h[m] for m, _ in found] for h in held[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), *[pa.int64()] * 3], strict=True)], ["marker", *"ntq"])
 
-    counts = texts.mapInPandas(count, "marker string, n long, t long, q long").groupBy("marker").agg(*(F.sum(c).alias(c) for c in "ntq"))
+    counts = texts.mapInArrow(count, "marker string, n long, t long, q long").groupBy("marker").agg(*(F.sum(c).alias(c) for c in "ntq"))
     total = {"t": int((sample["toxic"] == 1).sum()), "q": int((sample["quality"] == 0).sum())}
 
     def z(c: str):
@@ -200,19 +205,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
     markers = {m: i for i, m in enumerate(dict.fromkeys(r["marker"] for r in [*toxic_ones, *poor_ones]))}
     chain = Chain(markers, [None] * len(CATEGORIES))
 
-    def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = [chain.features(t) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "own": [o for o, _ in made], "numbers": [x for _, x in made]})
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [chain.features(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([o for o, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float64()))], ["doc_id", "own", "numbers"])
 
-    got = texts.mapInPandas(short, "doc_id long, own array<int>, numbers array<double>").toPandas().drop_duplicates("doc_id").sort_values("doc_id").merge(sample, on="doc_id")
+    got = texts.mapInArrow(short, "doc_id long, own array<int>, numbers array<double>").toPandas().sort_values("doc_id").merge(sample, on="doc_id")
+    dropped(texts)
     if not len(got):
         return chain
-    strong = {markers[r["marker"]] for r in toxic_ones}
-    held = np.array([len(strong.intersection(o)) for o in got["own"]])
     toxic = got["toxic"].to_numpy(float)
-    middle = np.median(held[toxic == 1]) if (toxic == 1).any() else 0
-    labels = np.column_stack([1 - got["quality"].to_numpy(float), toxic, ((toxic == 1) & (held >= max(1, middle))).astype(float)])
+    labels = np.column_stack([1 - got["quality"].to_numpy(float), toxic])
     x = matrix([(list(o), list(v)) for o, v in zip(got["own"], got["numbers"], strict=True)], len(markers))
     chain.weights, held_out = fit_chain(x, labels, got["doc_id"].to_numpy() % FOLDS)
     chain.reject = border(held_out[:, 1], toxic)
@@ -220,22 +223,36 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
     return chain
 
 
+def _judged(chain: Chain, b: pa.RecordBatch, text: str) -> np.ndarray:
+    hold("toxicity", chain.found.clear)
+    parts = [chain.probabilities([chain.features(t) for t in b.slice(k, 1000).column(text).to_pylist()]) for k in range(0, len(b), 1000)]
+    return np.concatenate([np.zeros((0, len(CATEGORIES))), *parts])
+
+
 def judge(docs: DataFrame, chain: Chain) -> DataFrame:
-    """docs with p_<category> for each category and verdict (toxic: true)."""
-    names = [f"p_{c}" for c in CATEGORIES]
-    kept = [f for f in docs.schema.fields if f.name.lower() not in {*names, "is_toxic"}]
-    schema = StructType([*kept, *(StructField(n, DoubleType()) for n in names), StructField("is_toxic", BooleanType())])
+    """docs with p_<category> for each category and is_toxic after its columns, which have other names."""
+    made = [StructField(f"p_{c}", DoubleType()) for c in CATEGORIES]
+    schema = StructType([*docs.schema.fields, *made, StructField("is_toxic", BooleanType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = _judged(chain, b, "text")
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, j]) for j in range(len(CATEGORIES))), pa.array(p[:, 1] >= chain.reject)], names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The rows of docs that the chain does not call toxic, with all their columns as they are."""
+    at = docs.columns.index("text")
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("toxicity", chain.found.clear)
         for b in batches:
-            for k in range(0, len(b), 1000):
-                part = b.slice(k, 1000)
-                p = chain.probabilities([chain.features(t) for t in part.column("text").to_pylist()])
-                made = [*(pa.array(p[:, j]) for j in range(len(names))), pa.array(p[:, 1] >= chain.reject)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], [f.name for f in schema.fields])
+            yield b.filter(pa.array(_judged(chain, b, f"c{at}")[:, 1] < chain.reject))
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

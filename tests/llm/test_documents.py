@@ -287,7 +287,7 @@ def labelled(seed, n):
 def test_toxicity_on_held_out_rows(spark, odd_texts):
     docs, labels = labelled(1, 900)
     more = [(10_000 + i, t) for i, (_, t) in enumerate(docs[600:])] + [(None, None), (20_000, ""), (20_000, "scum moron loser " * 4000)]
-    d = spark.createDataFrame([(*x, "c", None) for x in docs[:600] + more], "doc_id long, text string, p_toxic string, n_chars long")
+    d = spark.createDataFrame([(*x, "c", None) for x in docs[:600] + more], "doc_id long, text string, lang string, n_chars long")
     lab = spark.createDataFrame(labels[:600] + [labels[0], (3, None, None)], "doc_id long, quality int, toxic int")
     chain = toxicity.train(d, lab)
     got = {r.doc_id: r for r in toxicity.judge(d, chain).collect()}
@@ -295,6 +295,10 @@ def test_toxicity_on_held_out_rows(spark, odd_texts):
     assert np.mean([got[k].is_toxic == bool(t) for k, t in truth.items()]) >= 0.97
     assert not got[None].is_toxic
     assert toxicity.judge(d.limit(0), chain).count() == 0
+    odd = d.toDF("doc_id", "text", "is_toxic", "p_toxic")
+    left = toxicity.without_toxic(odd, chain)
+    assert left.columns == odd.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r.doc_id) for r in toxicity.judge(d, chain).collect() if not r.is_toxic)
+    assert {r.is_toxic for r in left.collect()} == {"c"}
     none = toxicity.train(d, lab.limit(0))
     assert not any(r.is_toxic for r in toxicity.judge(d.limit(20), none).collect())
 
@@ -311,6 +315,35 @@ def test_later_models_see_out_of_fold_predictions():
     assert weights[1][3] > 0  # the earlier category speaks for the later one
 
 
+def test_chain_against_plain_gradient_descent():
+    """The same chain written out: penalised logistic loss minimised by many small steps, fold by fold."""
+    r = np.random.default_rng(7)
+    n = 200
+    x = r.normal(size=(n, 2))
+    labels = np.column_stack([(x[:, 0] + r.normal(size=n) > 0).astype(float), (x[:, 0] + x[:, 1] + r.normal(size=n) > 0).astype(float)])
+    labels[:20, 0] = np.nan
+    folds = np.arange(n) % toxicity.FOLDS
+
+    def fitted(a, y):
+        w, penalty = np.zeros(a.shape[1]), np.array([0.3] * (a.shape[1] - 1) + [1e-6])
+        for _ in range(6000):
+            w -= (a.T @ (1 / (1 + np.exp(-a @ w)) - y) + penalty * w) / len(y)
+        return w
+
+    want, earlier = [], np.zeros((n, 0))
+    for j in range(2):
+        a, y = np.column_stack([x, earlier, np.ones(n)]), labels[:, j]
+        known = ~np.isnan(y)
+        want.append(fitted(a[known], y[known]))
+        out = np.zeros(n)
+        for k in range(toxicity.FOLDS):
+            out[folds == k] = 1 / (1 + np.exp(-a[folds == k] @ fitted(a[known & (folds != k)], y[known & (folds != k)])))
+        earlier = np.column_stack([earlier, out])
+    weights, held_out = toxicity.fit_chain(x.astype(np.float32), labels, folds)
+    assert all(np.allclose(a, b, atol=0.03) for a, b in zip(weights, want, strict=True))
+    assert np.allclose(held_out, earlier, atol=0.01)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -345,7 +378,7 @@ def test_views_of_texts_with_few_long_words():
         assert sum(x != a[0] and y != b[0] for x, y in zip(a[1:], b[1:], strict=True)) >= 5
 
 
-def test_one_of_each_keeps_what_is_not_similar(spark, monkeypatch):
+def test_one_of_each_keeps_what_is_not_similar(spark):
     r = random.Random(11)
     pool = ["".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(300)]
     rows = []
@@ -372,16 +405,65 @@ def test_one_of_each_keeps_what_is_not_similar(spark, monkeypatch):
             root = [min(a, b) if x in (a, b) else x for x in root]
     for (i, _), k in zip(rows, root, strict=True):
         want[k] = min((x for x in (want.get(k), i) if x is not None), default=None)
-    for block in (256, 2):
-        monkeypatch.setattr(simhash.confirmed, "__defaults__", (block,))
-        got = simhash.one_of_each(df, 3, 16, 0.8)
-        assert got.columns == df.columns
-        assert sorted(str(x.doc_id) for x in got.collect()) == sorted(map(str, want.values()))
+    got = simhash.one_of_each(df, 3, 16, 0.8)
+    assert got.columns == df.columns
+    assert sorted(str(x.doc_id) for x in got.collect()) == sorted(map(str, want.values()))
+    # In small blocks too what goes is connected to what stays, and no two that stay for each other's group are missed next to each other.
+    some = {x.doc_id for x in simhash.one_of_each(df, 3, 16, 0.8, 2).collect()}
+    assert set(want.values()) <= some and len(some) <= len(want) + 12
     assert {100 * k + 50 for k in range(12)} <= set(want.values())
     assert len(want) > len({x.head for x in linked})
     assert simhash.one_of_each(df.limit(0), 3, 16, 0.8).count() == 0
 
 
+def test_many_near_copies_are_one_group(spark):
+    import pyspark.sql.functions as F
+
+    r = random.Random(13)
+    pool = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    base = [r.choice(pool) for _ in range(100)]
+    sets = [base, *([*base[:k], f"x{n}", *base[k + 1 :]] for n in range(300) for k in [r.randint(0, 99)])]
+    sets += [[r.choice(pool) for _ in range(100)] for _ in range(40)]  # unlike all others, in the same component
+    rows = [(1, i, simhash.shingle_set(" ".join(t)).tobytes()) for i, t in enumerate(sets)] + [(2, 900, b""), (2, 901, b""), (3, 950, b"")]
+    df = simhash.written(spark.createDataFrame(rows, "head long, node long, shingles binary"))
+    for block in (256, 16):
+        links = simhash.grouped_by_similarity(df, 0.8, block)
+        parts = simhash.components(df.select("node", F.col("node").alias("label")), links).collect()
+        heads = collections.Counter(x.head for x in parts)
+        assert sorted(heads.values()) == [1] * 41 + [2, 301]
+
+
+ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, is_toxic string, digest string, tid string, c0 int, head string, n int"
+
+
+def test_pipeline_on_odd_rows(spark, odd_texts):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    long_one = words(random.Random(14), 900)
+    texts_in = [*odd_texts, (None, None), (77, long_one), (78, "a b " + long_one[:600]), (79, "y " * 30_000)]
+    rows = [(i, t, "en", "s", None if t is None else len(t), "keep", "d", None, 3, "h", k) for k, (i, t) in enumerate(texts_in)]
+    rows += rows[:3]
+    docs = spark.createDataFrame(rows, ODD_COLUMNS)
+    for frame in (docs, docs.limit(0)):
+        now = frame
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before = {(x.doc_id, x.n) for x in now.collect()}
+            now = corpus_pipeline.written(stage(spark, now, sf))
+            after = now.collect()
+            assert now.columns == docs.columns and {(x.doc_id, x.n) for x in after} <= before
+            assert all(x.is_toxic == "keep" and x.tid is None and x.digest == "d" and x.c0 == 3 and x.head == "h" for x in after)
+            assert all((x.text is None) == (x.n_chars is None) and (x.text is None or len(x.text) == x.n_chars) for x in after)
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, sf).collect()
+        assert {x.doc_id for x in packed} == {x.doc_id for x in now.collect()}
+        if frame is docs:
+            kept = now.collect()
+            assert sorted(str(x.doc_id) for x in kept if x.doc_id in (1, 5, 6)) == ["1", "5"]  # copies and repeated rows: one of each
+            assert sum(x.text is None or not x.text.strip() for x in kept if x.doc_id in (2, 3, 4, None)) == 1
+        else:
+            assert packed == []
+
+
 def test_passages_are_judged_in_words(spark):
     r = random.Random(12)
 
