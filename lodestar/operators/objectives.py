@@ -6,9 +6,11 @@ so stopping early only saves work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.relational import positions
+
 
 def region_objective(facts: DataFrame, trial: str, limits: dict[str, float]) -> DataFrame:
     """Per trial the mean recall of regions over patients with positives, less a penalty for region area on the others.
@@ -49,5 +51,4 @@ def recipe(models: DataFrame, key: str, weights: DataFrame) -> DataFrame:
     """models with role and weight (none and 0 where weights(key, role, weight) has no row), in order: semantic, spatial, none, each by falling weight."""
     j = models.join(weights, key, "left").withColumn("role", F.coalesce("role", F.lit("none"))).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     order = F.when(F.col("role") == "semantic", 0).when(F.col("role") == "spatial", 1).otherwise(2)
-    w = Window.orderBy(order, F.desc("weight"), key)  # a registry is short
-    return j.withColumn("position", F.row_number().over(w).cast("long"))
+    return positions(j, [order, -F.col("weight")], [key], "position")

@@ -106,6 +106,20 @@ def offsets(rows: DataFrame, entity: str) -> DataFrame:
     return ranged.join(base, "_block").withColumn("stop", stop).select(entity, (F.col("stop") - F.col("n")).alias("start"), "stop")
 
 
+def positions(rows: DataFrame, blocks: Sequence[str | Column], order: Sequence[str | Column], position: str) -> DataFrame:
+    """rows with their place from 1 in the order of blocks and then order, without one task that sees all rows.
+
+    blocks: columns whose values cut the rows into stretches that follow each other; rows are numbered inside
+    their stretch, and only the stretches' counts are summed up in one task.
+    """
+    keys = [f"_b{i}" for i in range(len(blocks))]
+    t = rows.withColumns({k: F.col(b) if isinstance(b, str) else b for k, b in zip(keys, blocks, strict=True)})
+    sizes = t.groupBy(*keys).agg(F.count("*").alias("_n"))
+    base = sizes.select(*keys, (F.sum("_n").over(Window.orderBy(*keys)) - F.col("_n")).alias("_base"))
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return t.join(base, keys).withColumn(position, (rn + F.col("_base")).cast("long")).drop(*keys, "_base")
+
+
 def ordered_lookup(keys: DataFrame, table: DataFrame, on: Sequence[str], position: str) -> DataFrame:
     """keys with the columns of table, in the keys' order; missed says which found nothing."""
     found = table.withColumn("_hit", F.lit(True))

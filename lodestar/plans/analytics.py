@@ -15,6 +15,7 @@ from lodestar.operators import metrics as met
 from lodestar.operators import objectives
 from lodestar.operators import quality
 from lodestar.operators import selection as sel
+from lodestar.operators.relational import positions
 from lodestar.plans.base import confusion, indexed, patches, query, rates, read, scored, state
 
 RATES = """CASE WHEN tp + fn = 0 THEN CASE WHEN fp = 0 THEN 1.0 ELSE 0.0 END ELSE 2.0 * tp / (2 * tp + fp + fn) END::DOUBLE AS dice,
@@ -97,25 +98,25 @@ def w05(spark, d):
     return met.best_mcc(scored(spark, d), "p", "truth", 64, [k / 10 for k in range(1, 10)])
 
 
-CURVE = "SELECT event_id, value FROM events WHERE user_id = 7"
+SMOOTH = "sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5"
 
 
-def _curve(spark, d):
-    return read(spark, d, "events").where("user_id = 7").select("event_id", "value")
+def _smooth():
+    """Of each user's curve of values."""
+    return F.sum("value").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-2, 2)) / 5
 
 
-@query("w06_moving_average", f"SELECT event_id, round(sum(value) OVER (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smooth FROM ({CURVE})")
+@query("w06_moving_average", f"SELECT user_id, event_id, round({SMOOTH}, 4) AS smooth FROM events")
 def w06(spark, d):
-    w = Window.orderBy("event_id").rowsBetween(-2, 2)  # one curve is short
-    return _curve(spark, d).select("event_id", F.round(F.sum("value").over(w) / 5, 6).alias("smooth"))
+    return read(spark, d, "events").select("user_id", "event_id", F.round(_smooth(), 4).alias("smooth"))
 
 
-@query("w07_curve_minimum", f"SELECT event_id, smooth FROM (SELECT event_id, round(sum(value) OVER (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smooth FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS rn, count(*) OVER () AS n FROM ({CURVE})) WHERE rn > 5 AND rn <= n - 5) ORDER BY smooth, event_id LIMIT 1")
+@query("w07_curve_minimum", f"SELECT user_id, event_id, smooth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY smooth, event_id) AS place FROM (SELECT user_id, event_id, round({SMOOTH}, 4) AS smooth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE rn > 5 AND rn <= n - 5)) WHERE place = 1")
 def w07(spark, d):
-    c = _curve(spark, d)
-    t = c.withColumn("rn", F.row_number().over(Window.orderBy("event_id"))).withColumn("n", F.count("*").over(Window.partitionBy())).where("rn > 5 and rn <= n - 5")
-    w = Window.orderBy("event_id").rowsBetween(-2, 2)
-    return t.select("event_id", F.round(F.sum("value").over(w) / 5, 6).alias("smooth")).orderBy("smooth", "event_id").limit(1)
+    own = Window.partitionBy("user_id")
+    t = read(spark, d, "events").select("user_id", "event_id", "value").withColumn("rn", F.row_number().over(own.orderBy("event_id"))).withColumn("n", F.count("*").over(own)).where("rn > 5 and rn <= n - 5")
+    s = t.select("user_id", "event_id", F.round(_smooth(), 4).alias("smooth"))
+    return s.groupBy("user_id").agg(F.min(F.struct("smooth", "event_id")).alias("m")).select("user_id", "m.event_id", "m.smooth")
 
 
 @query("w08_plateau")
@@ -130,11 +131,12 @@ def w09(spark, d):
     return read(spark, d, "events").select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(stop, "user_id long, stop long")
 
 
-@query("w15_smoothed_stop", """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY event_id) AS k, event_id, value FROM events WHERE user_id = 7),
-  e AS (SELECT k, event_id, value AS ema, value AS low FROM r WHERE k = 1 UNION ALL SELECT r.k, r.event_id, 0.05 * r.value + 0.95 * e.ema, least(e.low, 0.05 * r.value + 0.95 * e.ema) FROM e JOIN r ON r.k = e.k + 1)
-  SELECT event_id, round(ema, 4) AS ema FROM e WHERE k <= coalesce((SELECT min(k) FROM e WHERE ema > 1.5 * low), 1000000000)""")
+@query("w15_smoothed_stop", """WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id, value FROM events),
+  e AS (SELECT user_id, k, event_id, value AS ema, value AS low FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, r.event_id, 0.05 * r.value + 0.95 * e.ema, least(e.low, 0.05 * r.value + 0.95 * e.ema) FROM e JOIN r ON r.user_id = e.user_id AND r.k = e.k + 1),
+  f AS (SELECT user_id, min(k) FILTER (ema > 1.5 * low) AS first FROM e GROUP BY 1)
+  SELECT user_id, event_id, round(ema, 4) AS ema FROM e JOIN f USING (user_id) WHERE k <= coalesce(first, 1000000000)""")
 def w15(spark, d):
-    seq = _curve(spark, d).agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("c"))  # one curve is short
+    seq = read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("c"))  # one curve a user
     start = F.array().cast("array<struct<event_id:bigint,ema:double,low:double>>")
 
     def step(done, x):
@@ -143,9 +145,9 @@ def w15(spark, d):
         low = F.when(F.size(done) == 0, ema).otherwise(F.least(last["low"], ema))
         return F.concat(done, F.array(F.struct(x["event_id"].alias("event_id"), ema.alias("ema"), low.alias("low"))))
 
-    e = seq.select(F.posexplode(F.aggregate("c", start, step)).alias("k", "x")).select("k", "x.*")
-    first = e.where("ema > 1.5 * low").agg(F.min("k").alias("first"))
-    return e.join(F.broadcast(first)).where("k <= coalesce(first, 1000000000)").select("event_id", F.round("ema", 4).alias("ema"))
+    e = seq.select("user_id", F.posexplode(F.aggregate("c", start, step)).alias("k", "x")).select("user_id", "k", "x.*")
+    past = F.min(F.when(F.expr("ema > 1.5 * low"), F.col("k"))).over(Window.partitionBy("user_id"))
+    return e.withColumn("first", past).where("k <= coalesce(first, 1000000000)").select("user_id", "event_id", F.round("ema", 4).alias("ema"))
 
 
 @query("c12_bootstrap")
@@ -230,9 +232,9 @@ def c22_spatial(spark, d):
 
 
 @query("c42_recipe", """SELECT p_partkey, role, weight, row_number() OVER (ORDER BY CASE role WHEN 'semantic' THEN 0 WHEN 'spatial' THEN 1 ELSE 2 END, weight DESC, p_partkey) AS position
-  FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'spatial' ELSE 'none' END AS role, CASE WHEN p_partkey % 3 = 2 THEN 0.0 ELSE p_size / 50.0::DOUBLE END AS weight FROM part WHERE p_partkey < 60)""")
+  FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'spatial' ELSE 'none' END AS role, CASE WHEN p_partkey % 3 = 2 THEN 0.0 ELSE p_size / 50.0::DOUBLE END AS weight FROM part)""")
 def c42(spark, d):
-    p = read(spark, d, "part").where("p_partkey < 60")
+    p = read(spark, d, "part")
     k = F.col("p_partkey") % 3
     weights = p.where("p_partkey % 3 <> 2").select("p_partkey", F.when(k == 0, "semantic").otherwise("spatial").alias("role"), (F.col("p_size") / 50.0).alias("weight"))
     return objectives.recipe(p.select("p_partkey"), "p_partkey", weights)
@@ -282,15 +284,15 @@ def c01(spark, d):
     return sel.greedy_split(e, "patient_id", ["total"], 0.065, {"TEST": n // 5, "VALIDATION": n // 5})
 
 
-@query("c02_trial_order", "SELECT patient_id, row_number() OVER (ORDER BY patient_id * 31 % 17, patient_id) AS position FROM (SELECT DISTINCT patient_id FROM patches WHERE patient_id < 200)", "patches")
+@query("c02_trial_order", "SELECT patient_id, row_number() OVER (ORDER BY patient_id * 31 % 17, patient_id) AS position FROM (SELECT DISTINCT patient_id FROM patches)", "patches")
 def c02(spark, d):
-    e = patches(spark, d).where("patient_id < 200").select("patient_id").distinct()
-    return e.select("patient_id", F.row_number().over(Window.orderBy(F.col("patient_id") * 31 % 17, "patient_id")).cast("long").alias("position"))
+    e = patches(spark, d).select("patient_id").distinct().withColumn("weight", F.col("patient_id") * 31 % 17)
+    return positions(e, ["weight", F.floor(F.col("patient_id") / 4096)], ["patient_id"], "position").select("patient_id", "position")
 
 
 @query("c03_split_search")
 def c03(spark, d):
-    e = _entities(spark, d).where("patient_id < 400")
+    e = _entities(spark, d)
     n = e.count()
     return sel.search_split(e, "patient_id", 0.065, {"TEST": n // 5, "VALIDATION": n // 5}, 16, 11).select("patient_id", "split", F.round("loss", 9).alias("loss"))
 
@@ -394,9 +396,9 @@ def c36(spark, d):
     return s.withColumn("matches", F.col("want").isNull() | F.col("want").eqNullSafe(F.col("have")))
 
 
-@query("c40_bundle_resolution", "SELECT o_custkey % 10 AS grp, count(DISTINCT o_orderstatus) AS n, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS bundle FROM orders WHERE o_orderkey < 60 GROUP BY 1")
+@query("c40_bundle_resolution", "SELECT o_custkey % 10 AS grp, count(DISTINCT o_orderstatus) AS n, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS bundle FROM orders GROUP BY 1")
 def c40(spark, d):
-    g = read(spark, d, "orders").where("o_orderkey < 60").groupBy((F.col("o_custkey") % 10).alias("grp")).agg(F.collect_set("o_orderstatus").alias("s"))
+    g = read(spark, d, "orders").groupBy((F.col("o_custkey") % 10).alias("grp")).agg(F.collect_set("o_orderstatus").alias("s"))
     return g.select("grp", F.size("s").cast("long").alias("n"), F.when(F.size("s") == 1, F.col("s")[0]).alias("bundle"))
 
 
@@ -574,9 +576,11 @@ def f22(spark, d):
     return arr.entropy(read(spark, d, "lineitem").groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("n")), "l_suppkey")
 
 
-@query("f23_exponential_rate", "SELECT event_id, round(1e-6 * pow(1e6::DOUBLE, event_id / 999.0::DOUBLE), 9) AS rate FROM events WHERE event_id < 1000")
+@query("f23_exponential_rate", "SELECT event_id, round(1e-6 * pow(1e6::DOUBLE, event_id / (SELECT max(event_id) FROM events)::DOUBLE), 9) AS rate FROM events")
 def f23(spark, d):
-    return read(spark, d, "events").where("event_id < 1000").select("event_id", F.round(F.lit(1e-6) * F.pow(F.lit(1e6), F.col("event_id") / 999.0), 9).alias("rate"))
+    e = read(spark, d, "events").select("event_id")
+    last = F.broadcast(e.agg(F.max("event_id").cast("double").alias("last")))  # one row
+    return e.join(last).select("event_id", F.round(F.lit(1e-6) * F.pow(F.lit(1e6), F.col("event_id") / F.col("last")), 9).alias("rate"))
 
 
 @query("f24_normalised_weights", "SELECT event_type, round(CASE WHEN w <= 1e-4 THEN 0 ELSE w END, 6) AS weight FROM (SELECT event_type, n / (sum(n) OVER () + 1e-9) AS w FROM (SELECT event_type, count(*)::DOUBLE AS n FROM events GROUP BY 1))")
@@ -671,8 +675,8 @@ def j12(spark, d):
     return geometry.windows_on_boxes(w, b, 64, 128)
 
 
-@query("c38_ambiguous_regions", f"SELECT box FROM ({BOXES}) a WHERE box % 2 = 0 AND box < 400 AND NOT EXISTS (SELECT 1 FROM ({BOXES}) b WHERE b.box % 2 = 1 AND b.box < 400 AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)")
+@query("c38_ambiguous_regions", f"SELECT box FROM ({BOXES}) a WHERE box % 2 = 0 AND NOT EXISTS (SELECT 1 FROM ({BOXES}) b WHERE b.box % 2 = 1 AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)")
 def c38(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")
-    box = read(spark, d, "part").where("p_partkey < 400").select(k.alias("box"), (k * 37 % 900).cast("double").alias("x0"), (k * 53 % 900).cast("double").alias("y0"), (k * 37 % 900 + s).cast("double").alias("x1"), (k * 53 % 900 + s).cast("double").alias("y1"))
+    box = read(spark, d, "part").select(k.alias("box"), (k * 37 % 900).cast("double").alias("x0"), (k * 53 % 900).cast("double").alias("y0"), (k * 37 % 900 + s).cast("double").alias("x1"), (k * 53 % 900 + s).cast("double").alias("y1"))
     return quality.unambiguous(box.where("box % 2 = 0"), box.where("box % 2 = 1"), 64)

@@ -205,9 +205,10 @@ def j01(spark, d):
     return patches(spark, d).join(state(spark, d), "patch_id").select("patch_id", "patient_id", "split", "is_accepted")
 
 
-@query("j02_ordered_lookup", "SELECT pos, k.patient_id, k.row_index, i.patch_id, i.patch_id IS NULL AS missed FROM (SELECT c_custkey AS patient_id, c_custkey % 8 AS row_index, row_number() OVER (ORDER BY c_custkey DESC) - 1 AS pos FROM customer WHERE c_custkey < 100) k LEFT JOIN indexed i USING (patient_id, row_index)", "patches indexed")
+@query("j02_ordered_lookup", "SELECT pos, k.patient_id, k.row_index, i.patch_id, i.patch_id IS NULL AS missed FROM (SELECT c_custkey AS patient_id, c_custkey % 8 AS row_index, row_number() OVER (ORDER BY c_custkey DESC) - 1 AS pos FROM customer) k LEFT JOIN indexed i USING (patient_id, row_index)", "patches indexed")
 def j02(spark, d):
-    keys = read(spark, d, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("patient_id"), (F.col("c_custkey") % 8).alias("row_index"), (F.row_number().over(Window.orderBy(F.desc("c_custkey"))) - 1).cast("long").alias("pos"))
+    keys = read(spark, d, "customer").select(F.col("c_custkey").alias("patient_id"), (F.col("c_custkey") % 8).alias("row_index"))
+    keys = rel.positions(keys, [-F.floor(F.col("patient_id") / 4096)], [F.desc("patient_id")], "pos").withColumn("pos", F.col("pos") - 1)
     return rel.ordered_lookup(keys, indexed(spark, d).select("patient_id", "row_index", "patch_id"), ["patient_id", "row_index"], "pos").select("pos", "patient_id", "row_index", "patch_id", "missed")
 
 
