@@ -30,6 +30,7 @@ do not matter; an empty table gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -47,8 +48,6 @@ CODE = 4  # bytes that stand for a word; a false repeat needs two words of one c
 KEY_CONTEXTS = 128
 CHUNK = 1 << 20  # bytes of contexts that one suffix array sorts
 PIECE = 1 << 16  # symbols that are hashed at a time
-WORD_BYTES = 64  # longer words are not remembered
-WORDS_KEPT = 200_000
 _WORD = re.compile(rb"\S+")
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -80,38 +79,58 @@ def words_of(words: int) -> Units:
 PASSAGE = words_of(51)
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        from xxhash import xxh64_digest
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
 
-        code = xxh64_digest(word, 6)[:CODE]
-        if len(word) <= WORD_BYTES:
-            if len(self) > WORDS_KEPT:
-                self.clear()
-            self[word] = code
-        return code
 
+@functools.lru_cache(maxsize=32)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-_CODES = _Codes()
 
+def word_codes(raw: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """A code of CODE bytes for each word of a text's bytes: a polynomial hash by sums over all places at once, in blocks that end at white space."""
+    out, at = [np.zeros(0, np.uint32)], 0
+    while at < len(raw):
+        piece = raw[at : at + block]
+        if at + block < len(raw):
+            gaps = np.flatnonzero(_SPACE[piece])
+            if len(gaps):
+                piece = piece[: gaps[-1] + 1]
+            else:  # a word that is longer than a block
+                gaps = np.flatnonzero(_SPACE[raw[at + block :]])
+                piece = raw[at : at + block + int(gaps[0]) + 1] if len(gaps) else raw[at:]
+        at += len(piece)
+        space = np.ones(len(piece) + 2, np.int8)
+        space[1:-1] = _SPACE[piece]
+        edges = np.flatnonzero(np.diff(space))
+        size = max(1 << 12, 1 << len(piece).bit_length())
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_drawn(6)[piece] * _powers(_BASE, size)[: len(piece)], out=sums[1:])
+        code = (sums[edges[1::2]] - sums[edges[::2]]) * _powers(pow(_BASE, -1, 1 << 64), size)[edges[::2]]
+        code ^= code >> np.uint64(31)
+        out.append(((code * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32))
+    return np.concatenate(out) if len(out) > 2 else out[-1]
 
-def _forget() -> None:
-    _CODES.clear()
+
+@functools.lru_cache(maxsize=8)
+def _drawn(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def symbols(text: pa.Scalar, units: Units) -> np.ndarray:
-    if units.size == 1:
-        return np.frombuffer(text.as_buffer(), np.uint8)
-    return np.frombuffer(b"".join(map(_CODES.__getitem__, text.as_py().split())), "<u4")
+    raw = np.frombuffer(text.as_buffer(), np.uint8)
+    return raw if units.size == 1 else word_codes(raw)
 
 
 def gram_hashes(data: np.ndarray, gram: int, seed: int = 6) -> np.ndarray:
     """A 64-bit hash of each string of gram symbols."""
     if data.dtype == np.uint8:
-        h = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)[data]
+        h = _drawn(seed)[data]
     else:
-        a, b = np.random.default_rng(seed).integers(0, 1 << 64, 2, dtype=np.uint64)
-        h = (data.astype(np.uint64) + a) * (b | np.uint64(1))
+        h = (data.astype(np.uint64) + _drawn(seed)[0]) * (_drawn(seed)[1] | np.uint64(1))
         h ^= h >> np.uint64(32)
     out, done, t = None, 0, 1
     while True:
@@ -183,7 +202,7 @@ def chunks(texts: pa.Array, units: Units) -> Iterator[tuple[np.ndarray, np.ndarr
 
 def _anchor_rows(kinds: list[Units]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("suffix", _forget)
+        hold("suffix", int)
         for batch in batches:
             ids = batch.column("tid")
             for kind, units in enumerate(kinds):
@@ -200,7 +219,7 @@ def _context_rows(kinds: list[Units]):
     from xxhash import xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("suffix", _forget)
+        hold("suffix", int)
         sent: set[bytes] = set()
         for batch in batches:
             ids, shared = batch.column("tid"), batch.column("hs").flatten()
@@ -275,7 +294,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, end
     """For each suffix the length it shares with the one before it in order, up to most and within its context.
 
     Kasai: the length falls by at most one from a suffix to the next in the text, so all of
-    a context's lengths cost twice its size. All contexts take their steps together.
+    a context's lengths cost twice its size. All contexts take their steps together. Suffixes
+    that are shorter than most are left at 0.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
@@ -299,7 +319,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, end
         shared[at] = length
         at = at + 1
         length = np.maximum(length - 1, 0)
-        on = at < end
+        on = at + most <= end
         at, length, end = at[on], length[on], end[on]
     return shared
 

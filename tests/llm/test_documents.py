@@ -139,6 +139,17 @@ def test_op6_at_400_bytes(spark, tmp_path, monkeypatch):
     assert suffix_dedup.op6_suffix_dedup(spark, str(tmp_path)).collect() == []
 
 
+def test_word_codes():
+    r = random.Random(23)
+    text = b"".join(r.choice([b" ", b"\n", b"\t ", b"a", b"b", b"ab", "é".encode(), b"x" * 40]) for _ in range(4000)) + b"z" * 900
+    whole = suffix_dedup.word_codes(np.frombuffer(text, np.uint8))
+    split = text.split()
+    assert len(whole) == len(split) and len(set(zip(split, whole.tolist(), strict=True))) == len(set(split)) == len(set(whole.tolist()))
+    for block in (1, 7, 300):
+        assert (suffix_dedup.word_codes(np.frombuffer(text, np.uint8), block) == whole).all()
+    assert [len(suffix_dedup.word_codes(np.frombuffer(t, np.uint8))) for t in (b"", b" ", b"a", b" a ", b"a\x1cb")] == [0, 0, 1, 1, 1]
+
+
 def test_merging_sorted_arrays():
     r = random.Random(22)
     for _ in range(50):
@@ -244,6 +255,24 @@ def test_views_join_what_any_view_joins(spark):
     assert sorted(str(x.doc_id) for x in simhash.one_of_each(df.drop("digest"), 3, views).collect()) == sorted(min(v, key=lambda d: (d == "None", int(d) if d != "None" else 0)) for v in want.values())
 
 
+def test_components_by_rounds_and_by_one_task(spark):
+    r = random.Random(31)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(40)] + [(r.randint(200, 330), r.randint(200, 330)) for _ in range(90)] + [(7, 7)]
+    nodes = sorted({x for e in edges for x in e} | {999})
+    root = {x: x for x in nodes}
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    n, e = spark.createDataFrame([(x, 5000 - x) for x in nodes], "node long, label long"), spark.createDataFrame(edges, "a long, b long")
+    for finish in (500_000, 20):
+        got = simhash.components(n, e, finish).collect()
+        least = {}
+        for x in nodes:
+            least[root[x]] = min(5000 - x, least.get(root[x], 5000))
+        assert {x.node: x.least for x in got} == {x: least[root[x]] for x in nodes}
+        assert len({x.head for x in got}) == len(set(root.values()))
+
+
 def test_dense_buckets(spark):
     r = np.random.default_rng(2)
     low = np.unique(r.integers(0, 2**14, 3000, dtype=np.uint64))
