@@ -134,7 +134,7 @@ def w09(spark, d):
 @query("w15_smoothed_stop", """WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id, value FROM events),
   e AS (SELECT user_id, k, event_id, value AS ema, value AS low FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, r.event_id, 0.05 * r.value + 0.95 * e.ema, least(e.low, 0.05 * r.value + 0.95 * e.ema) FROM e JOIN r ON r.user_id = e.user_id AND r.k = e.k + 1),
   f AS (SELECT user_id, min(k) FILTER (ema > 1.5 * low) AS first FROM e GROUP BY 1)
-  SELECT user_id, event_id, round(ema, 4) AS ema FROM e JOIN f USING (user_id) WHERE k <= coalesce(first, 1000000000)""")
+  SELECT user_id, event_id, round(ema + 1e-9, 4) AS ema FROM e JOIN f USING (user_id) WHERE k <= coalesce(first, 1000000000)""")
 def w15(spark, d):
     seq = read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("c"))  # one curve a user
     start = F.array().cast("array<struct<event_id:bigint,ema:double,low:double>>")
@@ -147,7 +147,7 @@ def w15(spark, d):
 
     e = seq.select("user_id", F.posexplode(F.aggregate("c", start, step)).alias("k", "x")).select("user_id", "k", "x.*")
     past = F.min(F.when(F.expr("ema > 1.5 * low"), F.col("k"))).over(Window.partitionBy("user_id"))
-    return e.withColumn("first", past).where("k <= coalesce(first, 1000000000)").select("user_id", "event_id", F.round("ema", 4).alias("ema"))
+    return e.withColumn("first", past).where("k <= coalesce(first, 1000000000)").select("user_id", "event_id", F.round(F.col("ema") + 1e-9, 4).alias("ema"))  # no ties
 
 
 @query("c12_bootstrap")
