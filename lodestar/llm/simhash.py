@@ -26,7 +26,7 @@ in proportion to its size; only where dealing joins next to nothing any more all
 stands are judged. A component of up to BLOCK texts is judged pair by pair; in larger ones a link between two
 texts that do not stand can be missed if those that stand for them are not alike.
 
-Components: edges and maps stay in tables; each round contracts them by a share.
+Components: edges and maps stay in tables; each round contracts them by a share, until one task can hold them.
 
 Defined cases: a null or empty text (no words) has fingerprint zero and is linked like any
 other; with fewer than three words the whole sequence is the one shingle; a long text is
@@ -59,6 +59,7 @@ LONG_VIEWS = 5  # further views of long words; those after them are of all words
 SIMILAR_SHINGLE = 5  # words of a shingle by which similarity is judged
 BLOCK = 256  # texts of a component that are compared with as many others in one task
 BUCKET = 256  # fingerprints that one bucket holds before it is dealt anew
+FINISH = 500_000  # edges that one task joins
 
 
 def fingerprint(text: str | None, words_in: int = SHINGLE, seed: int = SEED) -> int:
@@ -277,17 +278,34 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     return both.repartition(n, *BUCKET_OF).sortWithinPartitions(*BUCKET_OF, "fp").mapInPandas(_solve(radius), "view long, a long, b long").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, to: each node of all the edges and the first node of its component. Roots are hooked to lower ones and paths halved."""
+    edges = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    a, b = (edges.column(c).to_numpy() for c in ("a", "b"))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["node", "to"])
+
+
+def components(nodes: DataFrame, edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """node, least, head: the smallest label of the nodes that edges(a, b) connect, and one node for each component; nodes(node, label) as given.
 
     Contraction: each round every node goes to the first of itself and its neighbours in a
     random order of the round, and on to where that one goes; edges go along and those within a
-    node end. So nodes and edges shrink by a share each round, chains and stars alike. The
-    rounds' maps are then followed back from the last.
+    node end. So nodes and edges shrink by a share each round, chains and stars alike. Once at
+    most `finish` edges are left, one task joins their nodes. The rounds' maps are then followed back from the last.
     """
-    left = written(edges.select("a", "b").where("a <> b"))
+    left = written(edges.select("a", "b").where("a <> b").distinct())
     maps: list[DataFrame] = []
-    while not left.isEmpty():
+    while (n := left.count()) > finish:
         order = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("k"), F.col(c).alias("n"))  # noqa: B023,E731
         sides = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = sides.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("m"))
@@ -299,6 +317,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         half = written(left.join(here("a"), "a").select("b", "to_a"))
         moved = half.join(here("b"), "b").where("to_a <> to_b")
         left = written(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+    if n:
+        maps.append(written(left.coalesce(1).mapInArrow(_joined, "node long, to long")))
     if not maps:
         return nodes.select("node", F.col("label").alias("least"), F.col("node").alias("head"))
     final = maps.pop()
