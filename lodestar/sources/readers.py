@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestar import ship
+from lodestar.sources.scratch import filesystem
 
 RING = "array<struct<x:double,y:double>>"
 SPLIT_MANIFEST = "run_id string, split string, label int, patient_id long, filename string, normalization_method string, is_normalized boolean, source_hdf5_path string, source_row_index long, source_image_path string, source_mask_path string"
@@ -51,6 +52,28 @@ def split_manifest(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, SPLIT_MANIFEST)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, at = filesystem(spark, path)
+    return files.exists(at)
+
+
+def run_config(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The run's JSON document as one row; None if there is none."""
+    return spark.read.schema(schema).json(path, multiLine=True) if _exists(spark, path) else None
+
+
+def split_stats(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The CSV of the splits' statistics; None if it is missing or has no rows."""
+    stats = read_table(spark, path, schema) if _exists(spark, path) else None
+    return None if stats is None or stats.isEmpty() else stats
+
+
+def review_records(spark: SparkSession, path: str) -> DataFrame:
+    """The files under review of a SQLite database, by origin and name. Register the data sources first."""
+    names = ["file_name", "file_path", "origin", "subject", "process_status", "markdown_path", "final_verdict", "comments"]
+    return spark.read.format("sqlite").option("path", path).option("table", "review_files").load().select(*names).orderBy("origin", "file_name")
+
+
 def accepted_rows(manifest: DataFrame, index: str, position: str) -> DataFrame:
     """Accepted rows, of each index the first by position."""
     w = Window.partitionBy(index).orderBy(position)
@@ -172,10 +195,27 @@ def with_handler(pairs: DataFrame, image: str, annotation: str) -> DataFrame:
     return pairs.withColumn("handler", table[F.concat(suffix_of(F.col(image)), suffix_of(F.col(annotation)))])
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    text = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("value"))
+    return text.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line_number", "line"))
+
+
+def lines_starting(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """path, line_number, line of the lines that start with the prefix."""
+    return _lines(spark, path).where(F.col("line").startswith(prefix)).withColumn("line", F.trim("line"))
+
+
+def lines_after(spark: SparkSession, path: str, markers: dict[str, str]) -> DataFrame:
+    """path, line_number, name, line: for each marker line its name and the next line that is not empty."""
+    lines = _lines(spark, path).withColumn("line", F.trim("line")).where("line <> ''")
+    names = F.create_map(*(F.lit(x) for pair in markers.items() for x in pair))
+    after = F.lead("line").over(Window.partitionBy("path").orderBy("line_number"))
+    return lines.withColumn("name", F.try_element_at(names, F.col("line"))).withColumn("line", after).where("name is not null and line is not null").select("path", "line_number", "name", "line")
+
+
 def lines_between(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
     """path, line_number, line of the non-empty lines between two marker lines of each file."""
-    text = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("value"))
-    lines = text.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line_number", "line"))
+    lines = _lines(spark, path)
     marks = lines.groupBy("path").agg(F.min(F.when(F.trim("line") == start, F.col("line_number"))).alias("a"), F.min(F.when(F.trim("line") == end, F.col("line_number"))).alias("b"))
     return lines.join(marks, "path").where("line_number > a and line_number < b and trim(line) <> ''").select("path", "line_number", F.trim("line").alias("line"))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.scratch import filesystem
+
 
 def write_shards(rows: DataFrame, path: str, shard: str) -> None:
     """Replaces the shards that occur in rows, each with its rows, and leaves the others."""
@@ -35,25 +37,40 @@ def write_report(rows: DataFrame, path: str, kind: str = "csv") -> None:
 def publish(rows: DataFrame, path: str, keys: Sequence[str]) -> int:
     """Writes beside path, reads back, and only then takes path's place; gives the number of rows.
 
-    Fails, and leaves path as it was, if keys repeat in what was written.
+    Fails, and leaves path as it was, if keys repeat in what was written. The old table is put aside, not
+    removed, until the new one is in its place; one that a lost driver has left aside is put back first.
     """
     spark = rows.sparkSession
-    staged = f"{path}.staged"
+    staged, aside = f"{path}.staged", f"{path}.aside"
+    (fs, old), (_, new), (_, spare) = (filesystem(spark, p) for p in (path, staged, aside))
+    if fs.exists(spare):
+        if fs.exists(old):
+            fs.delete(spare, True)
+        elif not fs.rename(spare, old):
+            raise OSError(f"{aside} could not be put back")
     rows.write.mode("overwrite").parquet(staged)
     back = spark.read.parquet(staged)
     n = back.count()
     if back.groupBy(*keys).count().where("count > 1").limit(1).count():
         raise ValueError(f"keys {list(keys)} repeat in what was written; {path} is as it was")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    new, old = hadoop.Path(staged), hadoop.Path(path)
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.delete(old, True)
+    if fs.exists(old) and not fs.rename(old, spare):
+        raise OSError(f"{path} could not be put aside")
     if not fs.rename(new, old):
+        if fs.exists(spare):
+            fs.rename(spare, old)
         raise OSError(f"{staged} could not be renamed")
+    fs.delete(spare, True)
     return n
 
 
+def write_splits(rows: DataFrame, path: str, split: str, order: Sequence[str]) -> None:
+    """One folder for each split, sorted by the unique order columns, and read back; fails if any row differs."""
+    rows.repartitionByRange(split, *order).sortWithinPartitions(split, *order).write.mode("overwrite").partitionBy(split).parquet(path)
+    back = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    if not same_rows(back, rows):
+        raise ValueError(f"{path} does not hold the rows of the splits")
+
+
 def same_rows(left: DataFrame, right: DataFrame) -> bool:
     """Whether two tables hold the same rows, repeats counted."""
     a, b = left.select(*sorted(left.columns)), right.select(*sorted(right.columns))

@@ -5,8 +5,10 @@ import sqlite3
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestar.sources import datasources, readers, writers
+from lodestar.functions import coerce
+from lodestar.sources import datasources, readers, runs, scratch, writers
 from lodestar.streaming import accumulators
 
 
@@ -106,3 +108,53 @@ def test_streams(spark, tmp_path):
     es = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev"))
     accumulators.run_once(accumulators.windowed_counts(es, "ts", "kind", "10 minutes", "5 minutes"), str(tmp_path / "c3"), "win", "append")
     assert [(r.kind, r.n) for r in spark.table("win").collect()] == [("a", 2)]
+
+
+def test_run_store(spark, tmp_path):
+    at = str(tmp_path / "store")
+    state = spark.createDataFrame([(1, None, "a"), (2, 1, "a"), (3, 0, "a")], "k long, selected int, last_stage string")
+    runs.create_store(state, at)
+    assert runs.record_run(spark, at, "b", spark.createDataFrame([(1, 1), (2, 0)], "k long, selected int"), "k", ("c.json", "00")) == 1
+    rows = {r.k: (r.selected, r.last_stage) for r in runs.read_store(spark, at)[1].collect()}
+    assert rows == {1: (1, "b"), 2: (0, "b"), 3: (0, "a")}
+    for bad in ([(1, 1), (2, 0), (9, 1)], [(1, 1)]):  # a key that is not there; a row that an earlier run of the stage has left
+        with pytest.raises(ValueError):
+            runs.record_run(spark, at, "b", spark.createDataFrame(bad, "k long, selected int"), "k")
+        told, now = runs.read_store(spark, at)
+        assert told.count() == 1 and {r.k: (r.selected, r.last_stage) for r in now.collect()} == rows
+    assert runs.record_run(spark, at, "c", spark.createDataFrame([], "k long, selected int"), "k") == 2
+    assert [tuple(r)[:4] for r in runs.read_store(spark, at)[0].orderBy("run_id").collect()] == [(1, "b", "c.json", "00"), (2, "c", None, None)]
+
+
+def test_publish_survives_a_lost_driver(spark, tmp_path):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    out = tmp_path / "o.parquet"
+    writers.publish(t, str(out), ["k"])
+    out.rename(tmp_path / "o.parquet.aside")  # as if it had ended between the two renames
+    with pytest.raises(ValueError):
+        writers.publish(t.unionByName(t), str(out), ["k"])
+    assert writers.same_rows(readers.read_table(spark, str(out)), t)
+    writers.publish(t.limit(1), str(out), ["k"])
+    assert readers.read_table(spark, str(out)).count() == 1 and not (tmp_path / "o.parquet.aside").exists()
+
+
+def test_missing_and_empty_documents(spark, tmp_path):
+    assert readers.run_config(spark, str(tmp_path / "none.json"), "a long") is None
+    assert readers.split_stats(spark, str(tmp_path / "none.csv"), "a long") is None
+    (tmp_path / "s.csv").write_text("a\n")
+    assert readers.split_stats(spark, str(tmp_path / "s.csv"), "a long") is None
+    (tmp_path / "p.md").write_text("M1\n\n\nq 1\nM2\n")
+    got = readers.lines_after(spark, str(tmp_path / "p.md"), {"M1": "one", "M2": "two"}).collect()
+    assert [(r.name, r.line) for r in got] == [("one", "q 1")]
+    with pytest.raises(ValueError):
+        scratch.local("hdfs://host/a")
+    assert scratch.local("file:///a/b") == scratch.local("/a/b") == "/a/b"
+
+
+def test_coercion(spark):
+    t = spark.createDataFrame([("7", None, " YES ")], "a string, b string, c string")
+    r = t.select(coerce.as_int(F.col("a"), "a").alias("a"), coerce.as_float_or_null(F.col("b"), "b").alias("b"), coerce.as_bool(F.col("c")).alias("c"), coerce.as_bool(F.col("b"), True).alias("d"), coerce.as_bool(F.col("a")).alias("e")).first()
+    assert tuple(r) == (7, None, True, True, False)
+    for wrong in (coerce.as_int(F.col("b"), "b"), coerce.as_float(F.col("c"), "c"), coerce.as_float_or_null(F.col("c"), "c"), coerce.as_int(F.lit("1.5"), "x")):
+        with pytest.raises(Exception, match="is not"):
+            t.select(wrong).collect()
