@@ -17,6 +17,8 @@ neighbours within the radius. No bucket is capped.
 
 With several views (views_of) a text has further fingerprints, of its distinct words under
 different hashes, and is linked to what is within the radius in any view. The query uses one.
+Then the first tables' links are joined to components of texts before the other tables are solved, which
+tell only links between different components: a group of near copies is told once, not in every table of every view.
 
 With a similarity (one_of_each) links are only candidates: a component's distinct texts are dealt over blocks
 of at most BLOCK or so, where every pair is judged by the exact Jaccard similarity of its shingle sets. Texts
@@ -60,6 +62,7 @@ SIMILAR_SHINGLE = 5  # words of a shingle by which similarity is judged
 BLOCK = 256  # texts of a component that are compared with as many others in one task
 BUCKET = 256  # fingerprints that one bucket holds before it is dealt anew
 FINISH = 500_000  # edges that one task joins
+FIRST_TABLES = 5  # with several views: tables whose links are joined before the other tables tell theirs
 
 
 def fingerprint(text: str | None, words_in: int = SHINGLE, seed: int = SEED) -> int:
@@ -198,14 +201,25 @@ def _solve(radius: int):
                 f = pd.concat(held, ignore_index=True)
                 other = np.flatnonzero((f[BUCKET_OF].to_numpy() != f[BUCKET_OF].to_numpy()[-1]).any(1))
                 tail = int(other[-1]) + 1 if len(other) else 0
-                yield _links(f.iloc[:tail], radius)
+                yield _between(_links(f.iloc[:tail], radius), f)
                 held, size = [f.iloc[tail:]], len(f) - tail
         if held:
-            yield _links(pd.concat(held, ignore_index=True), radius)
+            f = pd.concat(held, ignore_index=True)
+            yield _between(_links(f, radius), f)
 
     return run
 
 
+def _between(found: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+    """Of the found links one for each two components of the rows f (column part, if there): those within one say nothing new."""
+    if "part" not in f or not len(found):
+        return found
+    part = f.drop_duplicates(["view", "fp"]).set_index(["view", "fp"])["part"]
+    a, b = (part.reindex(pd.MultiIndex.from_frame(found[["view", c]])).to_numpy() for c in "ab")
+    ends = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return found[(a != b) & ~ends.duplicated().to_numpy()]
+
+
 def _links(f: pd.DataFrame, radius: int) -> pd.DataFrame:
     view, mask, key, fps = (f[c].to_numpy(np.int64).view(np.uint64) for c in (*BUCKET_OF, "fp"))
     start = np.concatenate([[True], (view[1:] != view[:-1]) | (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]) if len(f) else np.zeros(0, bool)
@@ -261,19 +275,25 @@ def first_here(difference: np.ndarray, mask: np.ndarray, radius: int) -> np.ndar
     return out
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """view, a, b: links a < b that connect what all links of distinct(view, fp) connect in each view. distinct: a written table."""
+def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, some: slice = slice(None)) -> DataFrame:
+    """view, a, b: links a < b that connect what all links of distinct(view, fp) connect in each view. distinct: a written table.
+
+    some: the tables to look into, of all. With a column part, which earlier tables' links have joined, only links between different parts.
+    """
     spark = distinct.sparkSession
-    tables = _tables(radius)
-    dealt = distinct.select("view", "fp", F.explode(F.array(*(F.lit(_signed(m)) for m, _ in tables))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    sizes = dealt.groupBy(*BUCKET_OF).agg(F.count("*").alias("n")).where("n > 1")
+    tables = _tables(radius)[some]
+    own = [c for c in distinct.columns if c == "part"]
+    dealt = distinct.select("view", "fp", *own, F.explode(F.array(*(F.lit(_signed(m)) for m, _ in tables))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    # A bucket of one part alone has nothing to tell.
+    worth = F.min("part") != F.max("part") if own else F.count("*") > 1
+    sizes = dealt.groupBy(*BUCKET_OF).agg(F.count("*").alias("n"), worth.alias("worth")).where("worth").drop("worth")
     shared = written(dealt.join(sizes, BUCKET_OF))
     finer = F.lit(None)
     for m, deeper in tables:
         finer = F.when(F.col("mask") == _signed(m), F.array(*(F.lit(_signed(x)) for x in deeper))).otherwise(finer)
-    small = shared.where(F.col("n") <= bucket).select(*BUCKET_OF, "fp")
-    large = shared.where(F.col("n") > bucket).select("view", "fp", F.explode(finer).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    both = small.unionByName(large.select(*BUCKET_OF, "fp"))
+    small = shared.where(F.col("n") <= bucket).select(*BUCKET_OF, "fp", *own)
+    large = shared.where(F.col("n") > bucket).select("view", "fp", *own, F.explode(finer).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    both = small.unionByName(large.select(*BUCKET_OF, "fp", *own))
     n = shuffle_partitions(spark)
     return both.repartition(n, *BUCKET_OF).sortWithinPartitions(*BUCKET_OF, "fp").mapInPandas(_solve(radius), "view long, a long, b long").distinct()
 
@@ -340,28 +360,34 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, views: int = 1) -> Da
     node = F.col("fp") if views == 1 else F.xxhash64("view", "fp")
     each = kinds.select("fps", "label", F.col("fps")[0].alias("own"), F.posexplode("fps").alias("view", "fp")).where("view = 0 or fp <> own").drop("own").withColumn("view", F.col("view").cast("long")).withColumn("node", node)
     nodes = written(each.groupBy("view", "fp", "node").agg(F.min("label").alias("label"), F.count("*").alias("n")))
-    found = links(nodes.select("view", "fp"), radius)
-    if views == 1:
-        edges = found.select("a", "b")
-    else:
-        found = written(found.select(F.xxhash64("view", "a").alias("a"), F.xxhash64("view", "b").alias("b")))
-        # Views of one text belong together; those that no other text has need no edge.
-        active = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).unionByName(nodes.where("n > 1").select("node"))
-        active = written(active.distinct())
-        held = each.join(active, "node", "left_semi").groupBy("fps").agg(F.array_sort(F.collect_set("node")).alias("own")).where("size(own) > 1")
-        edges = found.unionByName(held.select(F.col("own")[0].alias("a"), F.explode(F.slice("own", 2, views)).alias("b")).distinct())
-    parts = components(nodes.select("node", "label"), edges)
     if views == 1:
+        parts = components(nodes.select("node", "label"), links(nodes.select("view", "fp"), radius).select("a", "b"))
         told = parts.select(F.array("node").alias("fps"), F.col("least").alias("component_id"), "head")
     else:
-        # A text's component is that of any of its active views; without one it is alone.
-        first = F.min(F.struct(F.col("act").isNull().alias("alone"), F.col("least").isNull().alias("no"), "least", "head")).alias("m")
-        known = parts.join(active.withColumn("act", F.lit(True)), "node", "left")
-        linked = each.select("fps", "node").join(known, "node").groupBy("fps").agg(first)
-        told = linked.select("fps", F.col("m.least").alias("component_id"), F.col("m.head").alias("head"))
+        ends = [F.xxhash64("view", c).alias(c) for c in "ab"]
+        first = written(links(nodes.select("view", "fp"), radius, some=slice(FIRST_TABLES)).select(*ends))
+        known = written(_texts(each, nodes, first, views).select("fps", "head"))
+        parted = each.join(known, "fps").groupBy("view", "fp").agg(F.min("head").alias("part"))
+        later = written(links(written(parted), radius, some=slice(FIRST_TABLES, None)).select(*ends))
+        told = _texts(each, nodes, first.unionByName(later), views)
     return made.join(told, "fps").select("doc_id", "digest", F.col("fps")[0].alias("fp"), "component_id", "head")
 
 
+def _texts(each: DataFrame, nodes: DataFrame, found: DataFrame, views: int) -> DataFrame:
+    """fps, component_id, head: what the links found(a, b) connect, if views of one text belong together."""
+    # Views that no other text has need no edge.
+    active = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).unionByName(nodes.where("n > 1").select("node"))
+    active = written(active.distinct())
+    held = each.join(active, "node", "left_semi").groupBy("fps").agg(F.array_sort(F.collect_set("node")).alias("own")).where("size(own) > 1")
+    edges = found.unionByName(held.select(F.col("own")[0].alias("a"), F.explode(F.slice("own", 2, views)).alias("b")).distinct())
+    parts = components(nodes.select("node", "label"), edges)
+    # A text's component is that of any of its active views; without one it is alone.
+    first = F.min(F.struct(F.col("act").isNull().alias("alone"), F.col("least").isNull().alias("no"), "least", "head")).alias("m")
+    known = parts.join(active.withColumn("act", F.lit(True)), "node", "left")
+    linked = each.select("fps", "node").join(known, "node").groupBy("fps").agg(first)
+    return linked.select("fps", F.col("m.least").alias("component_id"), F.col("m.head").alias("head"))
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """The sorted hashes of the distinct shingles of SIMILAR_SHINGLE words; of fewer words the whole is one; none of no words."""
     from xxhash import xxh64_intdigest as h

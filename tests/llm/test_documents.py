@@ -513,3 +513,27 @@ def test_passages_are_judged_in_words(spark):
     assert got[0].text.split() == texts[0][:30] + texts[0][81:] and got[2].text == rows[2][1]
     assert (got[90].text, got[91].text, got[92].text) == (None, "", " ")
     assert suffix_dedup.without_repeats(df.limit(0), words=51).count() == 0
+
+
+def test_links_of_later_tables_join_only_parts(spark):
+    """Tables solved in two steps, the later ones between parts alone, connect what all tables connect at once."""
+    rng = random.Random(4)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 3))) for c in centres for _ in range(60)}
+    signed = sorted({(v, f - (1 << 64) if f >> 63 else f) for f in fps for v in range(2)})
+    nodes = simhash.written(spark.createDataFrame(signed, "view long, fp long"))
+
+    def joined(pairs, start):
+        root = dict(start)
+        for v, a, b in pairs:
+            x, y = root[v, a], root[v, b]
+            root = {k: min(x, y) if r in (x, y) else r for k, r in root.items()}
+        return root
+
+    alone = {n: i for i, n in enumerate(signed)}
+    whole = joined([tuple(r) for r in simhash.links(nodes).collect()], alone)
+    first = joined([tuple(r) for r in simhash.links(nodes, some=slice(2)).collect()], alone)
+    parted = simhash.written(spark.createDataFrame([(*n, p) for n, p in first.items()], "view long, fp long, part long"))
+    later = [tuple(r) for r in simhash.links(parted, some=slice(2, None)).collect()]
+    assert all(first[v, a] != first[v, b] for v, a, b in later)
+    assert joined(later, first) == whole
