@@ -45,7 +45,7 @@ def payload_of(rooted: Column) -> Column:
 
 
 def is_portable(rooted: Column) -> Column:
-    """Whether a rooted reference is one: known root, forward slashes, relative, no drive, no empty or dot parts."""
+    """Whether a rooted reference is one: known root, forward slashes, relative, no drive, no part that goes up; empty and single-dot parts say nothing, as in any path."""
     p = F.coalesce(payload_of(rooted), F.lit(""))
     bad = (p == "") | p.contains("\\") | p.startswith("/") | p.rlike(r"^[A-Za-z]:") | F.exists(F.split(p, "/"), lambda x: x == "..")
     return ~bad

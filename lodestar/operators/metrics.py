@@ -5,6 +5,7 @@ Undefined rates are NULL inside (aggregates skip them) and become NaN only where
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -178,7 +179,7 @@ def bootstrap(rows: DataFrame, entity: str, replicates: int, seed: int, level: f
         total = np.zeros((replicates, 5))
         for f in frames:
             for key, tp, fp, fn, dice in zip(f[entity], f["tp"], f["fp"], f["fn"], f["dice"], strict=True):
-                k = np.random.default_rng([seed, abs(hash(key)) % 2**32 if not isinstance(key, (int, np.integer)) else int(key) % 2**32]).poisson(1.0, replicates)
+                k = np.random.default_rng([seed, int(key) % 2**32 if isinstance(key, (int, np.integer)) else zlib.crc32(str(key).encode())]).poisson(1.0, replicates)
                 total += k[:, None] * np.array([2 * tp, 2 * tp + fp + fn, 0.0 if np.isnan(dice) else dice, 0.0 if np.isnan(dice) else 1.0, 1.0])
         yield pd.DataFrame(total, columns=["a", "b", "c", "d", "e"]).assign(r=np.arange(replicates))
 

@@ -8,7 +8,7 @@ numpy arrays; only the one over entities (greedy_split) sees a table of one row
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -130,22 +130,40 @@ def greedy_split(entities: DataFrame, key: str, order: Sequence[str], ratio: flo
     return entities.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"{key} long, split string")
 
 
+ENTITIES = 1_000_000  # entities (24 bytes each) that a search sends to every executor; more are an error
+
+
 def search_split(entities: DataFrame, key: str, ratio: float, quota: dict[str, int], trials: int, seed: int) -> DataFrame:
-    """The best of `trials` seeded orders: smallest summed distance of the splits' ratios from ratio, both classes in each; each trial is a task's group."""
-
-    def run(k: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        trial = int(k[0])
-        f = f.sort_values(key)
-        f = f.iloc[np.random.default_rng([seed, trial]).permutation(len(f))]
-        f = f.assign(split=allocate(f["total"].tolist(), f["positive"].tolist(), ratio, quota))
-        g = f.groupby("split")[["total", "positive"]].sum()
+    """The best of `trials` seeded orders: smallest summed distance of the splits' ratios from ratio, both classes in each; of equals the first.
+
+    Trials are dealt to tasks; the entities, of which every trial needs all, are broadcast. Only a trial's loss comes back.
+    """
+    spark = entities.sparkSession
+    f = entities.select(F.col(key).cast("long"), F.col("total").cast("long"), F.col("positive").cast("long")).limit(ENTITIES + 1).toPandas().sort_values(key)
+    if len(f) > ENTITIES:
+        raise ValueError(f"a search takes at most {ENTITIES} entities")
+    held = spark.sparkContext.broadcast([f[c].to_numpy() for c in (key, "total", "positive")])
+
+    def dealt(trial: int) -> pd.DataFrame:
+        ids, total, positive = held.value
+        at = np.random.default_rng([seed, trial]).permutation(len(ids))
+        return pd.DataFrame({key: ids[at], "total": total[at], "positive": positive[at], "split": allocate(total[at].tolist(), positive[at].tolist(), ratio, quota)})
+
+    def lost(trial: int) -> float:
+        g = dealt(trial).groupby("split")[["total", "positive"]].sum()
         both = all(0 < r.positive < r.total for r in g.itertuples())
-        loss = float((g["positive"] / g["total"] - ratio).abs().sum()) + (0.0 if both else 10.0)
-        return pd.DataFrame({"trial": trial, "loss": loss, key: f[key], "split": f["split"]})
+        return float((g["positive"] / g["total"] - ratio).abs().sum()) + (0.0 if both else 10.0)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in frames:
+            yield pd.DataFrame({"trial": t["id"], "loss": [lost(int(i)) for i in t["id"]]})
 
-    each = entities.crossJoin(F.broadcast(entities.sparkSession.range(trials).withColumnRenamed("id", "trial"))).groupBy("trial").applyInPandas(run, f"trial long, loss double, {key} long, split string")
-    best = each.groupBy("trial").agg(F.first("loss").alias("loss")).agg(F.min(F.struct("loss", "trial")).alias("b")).select("b.trial", "b.loss")
-    return each.drop("loss").join(F.broadcast(best), "trial").select(key, "split", "trial", "loss")
+    losses = spark.range(0, trials if len(f) else 0, 1, max(1, min(trials, 1024))).mapInPandas(run, "trial long, loss double")
+    best = losses.agg(F.min(F.struct("loss", "trial")).alias("b")).first()["b"]
+    told = f"{key} long, split string, trial long, loss double"
+    if best is None:
+        return spark.createDataFrame([], told)
+    return spark.createDataFrame(dealt(best["trial"])[[key, "split"]].assign(trial=best["trial"], loss=best["loss"]), told)
 
 
 def group_folds(entities: DataFrame, key: str, folds: int) -> DataFrame:
@@ -217,24 +235,25 @@ def diverse_subset(points: np.ndarray, most: int, eps: float = 0.1) -> list[int]
     return max(candidates, key=worth)
 
 
-def coverage_curve(points: np.ndarray, order: Sequence[int]) -> np.ndarray:
-    """Mean distance of all points to the nearest of the first k in order, for k = 1, 2, ..."""
-    gap, out = np.full(len(points), np.inf), []
+def coverage_curve(points: np.ndarray, order: Iterable[int]) -> Iterator[float]:
+    """Mean distance of all points to the nearest of the first k in order, for k = 1, 2, ...; each is worked out when asked for."""
+    gap = np.full(len(points), np.inf)
     for i in order:
         gap = np.minimum(gap, np.sqrt(np.maximum(0, ((points - points[i]) ** 2).sum(1))))
-        out.append(gap.mean())
-    return np.array(out)
+        yield float(gap.mean())
 
 
-def plateau(curve: Sequence[float], tolerance: float, patience: int) -> int:
+def plateau(curve: Iterable[float], tolerance: float, patience: int) -> int:
     """How many of the curve to keep: up to where the relative improvement stays below tolerance for `patience` steps."""
-    still = 0
-    for k in range(1, len(curve)):
-        gain = (curve[k - 1] - curve[k]) / curve[k - 1] if curve[k - 1] > 0 else 0.0
-        still = still + 1 if gain < tolerance else 0
-        if still >= patience:
-            return k + 1
-    return len(curve)
+    still, k, last = 0, 0, None
+    for k, x in enumerate(curve, 1):
+        if last is not None:
+            gain = (last - x) / last if last > 0 else 0.0
+            still = still + 1 if gain < tolerance else 0
+            if still >= patience:
+                return k
+        last = x
+    return k
 
 
 def early_stop(scores: Sequence[float], delta: float, patience: int) -> int:
@@ -268,14 +287,12 @@ def select_diverse(rows: DataFrame, entity: str, position: str, vector: str, mos
 
 
 def select_adaptive(rows: DataFrame, entity: str, position: str, vector: str, tolerance: float, patience: int) -> DataFrame:
-    """Per entity the points up to the plateau of coverage, in order of position."""
+    """Per entity the points up to the plateau of coverage, in order of position. All points count; a step costs one pass over the entity's."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(position)
         points = np.stack(f[vector].to_numpy()).astype(np.float64)
         return f.iloc[: plateau(coverage_curve(points, range(len(points))), tolerance, patience)][[entity, position]]
 
-    pool = Window.partitionBy(entity).orderBy(shuffled(position, 1), position)
-    t = rows.select(entity, position, vector).withColumn("_rn", F.row_number().over(pool)).where(F.col("_rn") <= CANDIDATES).drop("_rn")
     kinds = dict(rows.dtypes)
-    return t.groupBy(entity).applyInPandas(run, f"{entity} {kinds[entity]}, {position} {kinds[position]}")
+    return rows.select(entity, position, vector).groupBy(entity).applyInPandas(run, f"{entity} {kinds[entity]}, {position} {kinds[position]}")

@@ -130,7 +130,7 @@ def test_selection_kernels():
     chosen = sel.diverse_subset(clumps, 4)
     assert 1 <= len(set(chosen)) <= 4 and len({i // 2 for i in chosen}) == len(chosen)
     assert sel.diverse_subset(square[:2], 5) == [0, 1]
-    curve = sel.coverage_curve(square, [0, 2, 1, 3])
+    curve = list(sel.coverage_curve(square, [0, 2, 1, 3]))
     for k in (2, 4):
         exact = np.min([[np.linalg.norm(p - square[i]) for i in [0, 2, 1, 3][:k]] for p in square], axis=1).mean()
         assert abs(curve[k - 1] - exact) < 1e-12
