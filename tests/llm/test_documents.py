@@ -462,6 +462,32 @@ def test_many_near_copies_are_one_group(spark):
         assert sorted(heads.values()) == [1] * 41 + [2, 301]
 
 
+def test_links_of_texts_that_do_not_stand(spark):
+    import pyspark.sql.functions as F
+
+    # Chains: each text is alike to the next alone, and in random blocks others stand for it before it meets its next one.
+    rows = [(1, i, np.arange(10 * i, 10 * i + 100, dtype="<u8").tobytes()) for i in range(0, 120)]
+    rows += [(2, 1000 + i, np.arange(10**6 + 12 * i, 10**6 + 12 * i + 100, dtype="<u8").tobytes()) for i in range(120)]  # 88 of 112: not alike
+    # Stars of unequal sizes, joined by outer members alone; 80 of 100 is the very threshold.
+    for k in range(6):
+        base = np.arange(10**7 * (k + 1), 10**7 * (k + 1) + 100, dtype="<u8")
+        rows += [(3, 2000 + 100 * k + i, np.concatenate([base[:i], base[i + 1 :], [10**9 + 100 * k + i]]).astype("<u8").tobytes()) for i in range(40)]
+        rows += [(3, 2090 + 100 * k, base[:80].tobytes()), (3, 2091 + 100 * k, base[:64].tobytes()), (3, 2092 + 100 * k, base[:52].tobytes()), (3, 2093 + 100 * k, base[:41].tobytes())]
+    rows += [(4, 5000, b""), (4, 5001, b""), (4, 5002, b""), (4, 5003, base[:7].tobytes())]
+    df = simhash.written(spark.createDataFrame(rows, "head long, node long, shingles binary"))
+    sets = [(h, n, set(np.frombuffer(x, "<u8").tolist())) for h, n, x in rows]
+    root = {n: n for _, n, _ in sets}
+    for (h, a, x), (g, b, y) in itertools.combinations(sets, 2):
+        if h == g and root[a] != root[b] and len(x & y) >= 0.8 * len(x | y) - 1e-9:
+            low, high = sorted((root[a], root[b]))
+            root = {n: low if r == high else r for n, r in root.items()}
+    assert len(set(root.values())) > 120
+    for block in (8, 1000):
+        links = simhash.grouped_by_similarity(df, 0.8, block)
+        parts = simhash.components(df.select("node", F.col("node").alias("label")), links)
+        assert {x.node: x.least for x in parts.collect()} == root
+
+
 ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, is_toxic string, digest string, tid string, c0 int, head string, n int"
 
 
