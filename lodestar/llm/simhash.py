@@ -23,10 +23,9 @@ tell only links between different components: a group of near copies is told onc
 With a similarity (one_of_each) links are only candidates: a component's distinct texts are dealt over blocks
 of at most BLOCK or so, where every pair is judged by the exact Jaccard similarity of its shingle sets. Texts
 that pairs connect are one group, and the one of them with most partners stands for it when those that still
-stand are dealt anew, until a component has one block. So a group of many near copies costs
-in proportion to its size; only where dealing joins next to nothing any more all pairs of blocks of what
-stands are judged. A component of up to BLOCK texts is judged pair by pair; in larger ones texts of groups that are
-still apart, whether they stand or not, are then compared over every pair of blocks, so no link is missed.
+stand are dealt anew, until a component has one block or dealing joins next to nothing any more. So a group of many near
+copies costs in proportion to its size. A component of up to BLOCK texts is judged pair by pair; in larger ones texts of groups
+that are still apart, whether they stand or not, are then compared over every pair of blocks, so no link is missed.
 
 Components: edges and maps stay in tables; each round contracts them by a share, until one task can hold them.
 

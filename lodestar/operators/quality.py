@@ -67,9 +67,11 @@ def two_phase_lookup(records: DataFrame, index: DataFrame, path: str, target: st
 
 
 def unambiguous(regions: DataFrame, others: DataFrame, cell: int) -> DataFrame:
-    """Regions (box, x0, y0, x1, y1) that overlap none of the others in a positive area, by a grid join."""
+    """Regions (box, x0, y0, x1, y1) that overlap none of the others in a positive area, by a grid join of what is distinct on either side."""
+    ends = ["x0", "y0", "x1", "y1"]
     span = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor((hi - 1e-9) / cell))
     grid = lambda t: t.withColumn("cx", F.explode(span(F.col("x0"), F.col("x1")))).withColumn("cy", F.explode(span(F.col("y0"), F.col("y1"))))
-    b = grid(others).select("cx", "cy", *(F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")))
-    hit = grid(regions).join(b, ["cx", "cy"]).where("x0 < o_x1 and o_x0 < x1 and y0 < o_y1 and o_y0 < y1").select("box").distinct()
-    return regions.select("box").join(hit, "box", "left_anti")
+    b = grid(others.select(*ends).distinct()).select(*(F.col(c).alias(f"o_{c}") for c in ("cx", "cy", *ends)))
+    meet = F.expr("cx = o_cx and cy = o_cy and x0 < o_x1 and o_x0 < x1 and y0 < o_y1 and o_y0 < y1")
+    hit = grid(regions.select(*ends).distinct()).join(b, meet, "left_semi").select(*ends).distinct()
+    return regions.select("box", *ends).join(hit, ends, "left_anti").select("box")

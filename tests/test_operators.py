@@ -212,3 +212,13 @@ def test_rings_and_tissue():
     image[1, 1] = (200, 60, 120)
     mask = arr.tissue_mask(image)
     assert mask[5:15, 5:15].all() and not mask[1, 1] and mask.sum() == 100
+
+
+def test_unambiguous_meets_distinct_boxes_alone(spark):
+    rows = [(k, float(k % 3 * 10), 0.0, float(k % 3 * 10 + 8), 8.0) for k in range(300)] + [(900, None, 0.0, 5.0, 5.0)]
+    others = [(k, 7.0, 7.0, 12.0, 9.0) for k in range(300)] + [(901, 28.0, 0.0, 30.0, 8.0)]  # the last shares an edge alone
+    make = lambda r: spark.createDataFrame(r, "box long, x0 double, y0 double, x1 double, y1 double")
+    got = qual.unambiguous(make(rows), make(others), 64)
+    assert sorted(x.box for x in got.collect()) == [*range(2, 300, 3), 900]
+    # Copies are one row on either side of the grid join: it is a semi join, and pairs are never made.
+    assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
