@@ -222,3 +222,32 @@ def test_unambiguous_meets_distinct_boxes_alone(spark):
     assert sorted(x.box for x in got.collect()) == [*range(2, 300, 3), 900]
     # Copies are one row on either side of the grid join: it is a semi join, and pairs are never made.
     assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_polygons_are_compared_once(spark):
+    ring = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    tri = [(0.0, 0.0), (6.0, 0.0), (0.0, 6.0)]
+    left = [(k, ring(0.0, 0.0, 4.0)) for k in range(300)] + [(1000, tri), (1001, ring(50.0, 50.0, 9.0)), (None, ring(0.0, 0.0, 4.0)), (1002, None)]
+    right = [(k, ring(3.0, 3.0, 4.0)) for k in range(280)] + [(2000, tri), (2001, ring(4.0, 0.0, 4.0)), (2002, ring(52.0, 52.0, 1.0))]
+    make = lambda rows, k: spark.createDataFrame(rows, f"{k} long, ring array<struct<x: double, y: double>>")
+    got = [(x.l, x.r) for x in geo.overlapping_polygons(make(left, "l"), make(right, "r"), 8.0).collect()]
+    want = [(i, j) for i, a in left for j, b in right if a and geo.rings_overlap(np.array(a), np.array(b))]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 301 * 280
+    shaped = geo.shaped(make(left, "l"), ["ring"])
+    assert geo.shapes(shaped, ["ring"]).count() == 4
+    held = [len(x.l) for x in geo.members(shaped, "l", 64).collect()]
+    assert sum(held) == len(left) and max(held) < 128
+
+
+def test_all_rings_overlap():
+    r = np.random.default_rng(5)
+    angle = np.sort(r.random((400, 7)) * 2 * np.pi, axis=1)
+    rings = np.stack([np.cos(angle), np.sin(angle)], axis=-1) * r.uniform(0.2, 2, (400, 1, 1)) + r.uniform(-2, 2, (400, 1, 2))
+    a, b = rings[:200], rings[200:, :5]
+    got = geo.all_rings_overlap(a, b)
+    assert 20 < got.sum() < 180
+    for x, y, hit in zip(a, b, got, strict=True):
+        # By sampling points: what shares a clear area overlaps, and what shares none of many points hardly does.
+        points = r.uniform(-4, 4, (400, 2))
+        both = any(geo.contains(x, *p) and geo.contains(y, *p) for p in points)
+        assert hit or not both
