@@ -94,21 +94,25 @@ def expanded(pairs: DataFrame, left: DataFrame, right: DataFrame, l: str, r: str
 def windows_on_boxes(windows: DataFrame, boxes: DataFrame, size: int, cell: int) -> DataFrame:
     """Pairs of windows (window, x, y) and boxes (box, x0, y0, x1, y1) that overlap in a positive area.
 
-    Both sides are dealt to the grid cells that they touch and joined by cell; the pair is
-    kept in the cell of its overlap's lower corner only, so it comes once.
+    Both sides' shapes are dealt to the grid cells that they touch and joined by cell; the pair is
+    kept in the cell of its overlap's lower corner only, so it comes once. Then the windows and boxes of
+    the two shapes take their places.
     """
 
     def cells(lo, hi):
         return F.sequence(F.floor(lo / cell), F.floor((hi - 1e-9) / cell))
 
-    w = windows.withColumns({"x1w": F.col("x") + size, "y1w": F.col("y") + size})
+    windows, boxes = shaped(windows, ["x", "y"]), shaped(boxes, ["x0", "y0", "x1", "y1"])
+    w = shapes(windows, ["x", "y"]).withColumns({"x1w": F.col("x") + size, "y1w": F.col("y") + size}).withColumnRenamed("shape", "shape_l")
     w = w.withColumn("cx", F.explode(cells(F.col("x"), F.col("x1w")))).withColumn("cy", F.explode(cells(F.col("y"), F.col("y1w"))))
-    b = boxes.withColumn("cx", F.explode(cells(F.col("x0"), F.col("x1")))).withColumn("cy", F.explode(cells(F.col("y0"), F.col("y1"))))
+    b = shapes(boxes, ["x0", "y0", "x1", "y1"]).withColumnRenamed("shape", "shape_r")
+    b = b.withColumn("cx", F.explode(cells(F.col("x0"), F.col("x1")))).withColumn("cy", F.explode(cells(F.col("y0"), F.col("y1"))))
     j = w.join(b, ["cx", "cy"])
     lx, ly = F.greatest("x", "x0"), F.greatest("y", "y0")
     hx, hy = F.least("x1w", "x1"), F.least("y1w", "y1")
     here = (F.floor(lx / cell) == F.col("cx")) & (F.floor(ly / cell) == F.col("cy"))
-    return j.where((lx < hx) & (ly < hy) & here).select("window", "box", ((hx - lx) * (hy - ly)).alias("area"))
+    pairs = j.where((lx < hx) & (ly < hy) & here).select("shape_l", "shape_r", ((hx - lx) * (hy - ly)).alias("area"))
+    return expanded(pairs, windows, boxes, "window", "box")
 
 
 def rings_overlap(a: np.ndarray, b: np.ndarray) -> bool:
