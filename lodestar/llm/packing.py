@@ -18,8 +18,10 @@ an empty result; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -38,13 +40,14 @@ SHARD_PIECES = 20_000  # pieces in a packing shard, on average
 CHUNKS_KEPT = 600_000  # words that a worker remembers; it forgets all beyond
 CHUNK_CHARS = 64  # longer words are forgotten at once
 _ODD = re.compile("[\x1c-\x1fΣ]")
+_MARKS = string.punctuation
 
 
 class Tokens:
     """ids by the tokenizers library, which is only asked for words that this worker has not met lately.
 
     The vocabulary drops white space and never joins across it, and a word's last token
-    is marked as such; so unseen words go to the library together, in one string.
+    is marked as such; so the pieces of unseen words go to the library together, in strings of some thousands.
     """
 
     def __init__(self, path: str):
@@ -65,17 +68,31 @@ class Tokens:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """words: without white space; the pattern says of how many pieces each is."""
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids])
-        count = self.pieces.findall
-        pieces = np.fromiter((1 if w.isalpha() else len(count(w)) for w in words), np.int64, len(words))
-        cuts = np.concatenate([[0], ends[np.cumsum(pieces) - 1] + 1])
-        if len(ends) != pieces.sum() or cuts[-1] != len(ids):
-            raise ValueError("the vocabulary does not mark each word's last token")
-        raw = ids.tobytes()
-        self.known.update(zip(words, [raw[a:b] for a, b in zip((4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strict=True)], strict=True))
+    def learn(self, words: list[str]) -> list[str]:
+        """Notes the ids of words (without white space) that are not known, and says what else it noted: the pieces that the pattern cuts them into.
+
+        A piece's ids do not depend on what is beside it, so words that share pieces ask for them once.
+        """
+        known, cut = self.known, self.pieces.findall
+        alone, split = [], {}
+        for w in words:
+            if w.isalpha():
+                alone.append(w)
+            else:
+                letters = w.rstrip(_MARKS)
+                split[w] = (letters, w[len(letters) :]) if letters.isalpha() else cut(w)
+        fresh = alone + list(set(itertools.chain.from_iterable(split.values())).difference(known, alone))
+        for k in range(0, len(fresh), 2000):
+            some = fresh[k : k + 2000]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cuts) != len(some) + 1 or cuts[-1] != 4 * len(ids):
+                raise ValueError("the vocabulary does not mark each piece's last token")
+            raw = ids.tobytes()
+            known.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+        for w, pieces_of in split.items():
+            known[w] = b"".join(map(known.__getitem__, pieces_of))
+        return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
@@ -91,13 +108,12 @@ class Tokens:
         known = self.known
         if len(known) > CHUNKS_KEPT:
             known.clear()
-        unseen = [w for w in {w for words in split if words for w in words} if w not in known]
-        for k in range(0, len(unseen), 2000):
-            self.learn(unseen[k : k + 2000])
+        unseen = list(set().union(*filter(None, split)).difference(known))
+        fresh = self.learn(unseen)
         out = [self.whole(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
-        for w in unseen:
+        for w in itertools.chain(unseen, fresh):
             if len(w) > CHUNK_CHARS:
-                del known[w]
+                known.pop(w, None)
         return out
 
 

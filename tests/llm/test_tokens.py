@@ -96,3 +96,20 @@ def test_op2(spark, library, odd_texts):
     total = sum(x.length for x in got)
     assert len(by_seq) <= -(-total // 2048) + 1
     assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+def test_words_that_share_pieces_ask_the_library_once():
+    tokens = packing.Tokens(bpe.default_path())
+    library, asked = tokens.library, []
+
+    class Spy:
+        def encode(self, text, **how):
+            asked.extend(text.split())
+            return library.encode(text, **how)
+
+    tokens.library = Spy()
+    texts = ["Zebrules zebrules, zebrules. (zebrules) zebrules*** 10.20.10.2", "", "zebrules's don't 'sx x'sy ''' a_b naïve, École! ŉ x́! i̇. " + "q" * 70 + ",", "zebrules; 漢字, 한국어. 12,5%"]
+    got = tokens.encode(texts)
+    assert [w for w in asked if "zebrules" in w] == ["zebrules"]
+    assert not any(len(w) > packing.CHUNK_CHARS for w in tokens.known)
+    assert got == [tokens.whole(t) for t in texts]
